@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP2_SQL, op2_chat_formatting
 from .mixing import OP8_SQL, op8_mixing
 from .url_filter import OP9_SQL, op9_url_filter
+from .warc import OP3_SQL, op3_warc_revisits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_mixing, op9_url_filter)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_warc_revisits, op8_mixing, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_warc_revisits": OP3_SQL, "op8_mixing": OP8_SQL, "op9_url_filter": OP9_SQL}

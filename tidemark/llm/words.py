@@ -90,13 +90,12 @@ def word_hashes(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[np.nda
     hashes = mix64(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
     if not prefixes:
         return hashes, bounds
-    found = []
-    for n in prefixes:
-        words = np.flatnonzero(lengths > n)
-        total = np.zeros(len(words), np.uint64)
-        for k in range(n):
-            total += terms[first[words] + k]
-        found.append((words, mix64(total ^ np.uint64(0x5851F42D4C957F2D * n & (1 << 64) - 1))))
+    found, total, longer = [], np.zeros(len(at), np.uint64), np.arange(len(at))
+    for k in range(max(prefixes)):
+        kept_on = lengths[longer] > k + 1
+        longer, total = longer[kept_on], total[kept_on] + terms[first[longer[kept_on]] + k]
+        if k + 1 in prefixes:
+            found.append((longer, mix64(total ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (1 << 64) - 1))))
     return hashes, bounds, found
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP2_SQL, op2_chat_formatting
 from .language import op6_language_id
 from .mixing import OP8_SQL, op8_mixing
+from .near_dup import op10_near_dup
 from .secrets import op7_secret_scan
 from .toxicity import op4_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
@@ -16,7 +17,7 @@ from .warc import OP3_SQL, op3_warc_revisits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_warc_revisits, op4_toxicity, op6_language_id, op7_secret_scan, op8_mixing, op9_url_filter)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_warc_revisits, op4_toxicity, op6_language_id, op7_secret_scan, op8_mixing, op9_url_filter, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_chat_formatting
 from .decontaminate import op1_decontamination
+from .images import op5_image_copies
 from .language import op6_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .near_dup import op10_near_dup
@@ -18,7 +19,7 @@ from .warc import OP3_SQL, op3_warc_revisits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_warc_revisits, op4_toxicity, op6_language_id, op7_secret_scan, op8_mixing, op9_url_filter, op10_near_dup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_warc_revisits, op4_toxicity, op5_image_copies, op6_language_id, op7_secret_scan, op8_mixing, op9_url_filter, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:

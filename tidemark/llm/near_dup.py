@@ -29,9 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .grouping import compare_with_leaders, components
 from .words import blocks, mix64, shingle_hashes, word_hashes
 
 THRESHOLD = 0.8
@@ -208,36 +209,6 @@ def verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     return joined.select("node", "leader", "text", "leader_text").mapInArrow(_similarities(shared), "node string, leader string, similarity double")
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b); root is the smallest node of the connected component.
-
-    Alternates large stars and small stars until nothing changes; every step is written to the shared folder.
-    """
-    from ..runtime import drop_scratch, scratch_path
-
-    def step(rows: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = rows.select("a", "b").unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = rows.groupBy("a").agg(F.min("b").alias("m"))
-        joined = rows.join(least, "a")
-        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-
-    now, seen, before = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None, None
-    while True:
-        path = scratch_path(spark, "stars")
-        step(step(now, True), False).write.parquet(path)
-        now = spark.read.schema("a string, b string").parquet(path)
-        if before:
-            drop_scratch(spark, before)
-        before = path
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        seen = mark
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, node (digest of the text), text_class (smallest id with an equal text),
     group_id (smallest id of the group) and keeps (whether the text is the one of its group that stays: that of the smallest id)."""
@@ -253,34 +224,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
     banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     filled = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = persist(spark, banded.join(filled.select("band", "key", "least"), ["band", "key"]), "near-members")
+    members = persist(spark, banded.join(filled.select("band", "key", "least"), ["band", "key"]).select("band", "key", "node", "least"), "near-members")
     wanted = members.select("node").distinct()
     # Texts of the nodes that meet any other, once each.
     texts = persist(spark, docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     near = 1 - threshold
-    compared: list[DataFrame] = []
-    leaders = 1
-    members_left = members.where("node != least").select("band", "key", "node", F.col("least").alias("leader"))
-    while True:
-        found = persist(spark, verify(members_left.select("node", "leader").distinct(), texts, shared), "near-compared")
-        compared.append(found)
-        gone = members_left.join(found.where(F.col("similarity") >= threshold), ["node", "leader"], "left_semi").select("band", "key", "node")
-        led = members_left.select("band", "key", F.col("leader").alias("node"))
-        active = persist(spark, members_left.select("band", "key", "node").distinct().join(gone.unionByName(led).distinct(), ["band", "key", "node"], "left_anti"), "near-active")
-        left = active.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-        if left.isEmpty():
-            break
-        # The next leaders of a bucket are its members with the smallest digests, twice as many in each round; they are compared
-        # with each other too. Spark limits each group's rows to these before it shuffles them.
-        leaders *= 2
-        active = active.join(left.select("band", "key"), ["band", "key"], "left_semi")
-        chosen = active.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("node"))).where(F.col("rank") <= leaders)
-        members_left = active.join(chosen.select("band", "key", F.col("node").alias("leader")), ["band", "key"]).where("node > leader")
-    everything = compared[0]
-    for more in compared[1:]:
-        everything = everything.unionByName(more)
-    everything = persist(spark, everything.distinct(), "near-similarities")
+    everything = compare_with_leaders(spark, members, lambda pairs: verify(pairs, texts, shared), threshold, "near")
     edges = everything.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     roots = persist(spark, components(spark, edges), "near-roots")
 

@@ -38,40 +38,48 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def compare_with_leaders(spark: SparkSession, members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshold: float, label: str, votes: int = 1) -> DataFrame:
-    """Similarities (node, leader, similarity) that decide who is similar to whom in every bucket.
-
-    ``members`` has key columns band and key, node, and least (the bucket's
-    smallest node); only buckets of two or more. ``compare`` takes distinct
-    pairs (node, leader) and returns them with their similarity.
-
-    In each round a bucket's leaders are its smallest remaining nodes: one,
-    then two, four and so on. Those similar to a leader leave the bucket, as the leaders
-    do. A pair is compared if it meets in at least ``votes`` buckets of a round. No bucket is
-    gathered into one row or task: Spark limits a bucket's rows to its leaders before it shuffles them,
-    and splits a hot bucket's rows in the join.
+def meeting_rows(banded: DataFrame) -> DataFrame:
+    """Of (band, key, node) rows those in buckets of two or more, with ``order``: nodes that meet many others come first."""
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = banded.join(sizes, ["band", "key"])
+    weights = members.groupBy("node").agg(F.struct((-F.sum("n")).alias("w"), F.col("node").alias("node")).alias("order"))
+    return members.drop("n").join(weights, "node").select("band", "key", "node", "order")
+
+
+def compare_with_leaders(spark: SparkSession, members: DataFrame, compare: Callable[[DataFrame], DataFrame], explained: float, label: str, votes: int = 1, leaders: int = 1) -> DataFrame:
+    """Similarities (node, leader, similarity) of members of buckets to the buckets' leaders.
+
+    ``members`` has band, key, node and order (see ``meeting_rows``). ``compare``
+    takes distinct pairs (node, leader) and returns them with their similarity.
+
+    In each round a bucket's leaders are its first remaining nodes by order, and twice as many in each round. The leaders leave the bucket, and so do members whose similarity to a leader
+    reaches ``explained``, which is what brought them there; the others, whose meeting was
+    chance, go on. Members of a large group of near copies thus meet its centre, not each other. A pair is compared if it meets in
+    at least ``votes`` buckets of a round. No bucket is gathered into one row or task: leaders are found by aggregation or
+    by a rank that Spark limits before it shuffles, and a hot bucket's rows are split in the join.
     """
     from ..runtime import persist
 
     keys = ["band", "key"]
-    leaders = 1
-    meeting = members.where("node != least").select(*keys, "node", F.col("least").alias("leader"))
+    def meet(active: DataFrame) -> DataFrame:
+        ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("order"))).where(F.col("rank") <= leaders)
+        return active.join(ranked.select(*keys, F.col("node").alias("leader"), F.col("order").alias("leader_order")), keys).where("order > leader_order").drop("leader_order")
+
+    meeting = meet(members)
     compared: list[DataFrame] = []
     while True:
         pairs = meeting.groupBy("node", "leader").agg(F.count("*").alias("met")).where(F.col("met") >= votes).select("node", "leader")
         found = persist(spark, compare(pairs), f"{label}-compared")
         compared.append(found)
-        similar = found.where(F.col("similarity") >= threshold).select("node", "leader")
-        gone = meeting.join(similar, ["node", "leader"], "left_semi").select(*keys, "node")
+        known = found.where(F.col("similarity") >= explained).select("node", "leader")
+        gone = meeting.join(known, ["node", "leader"], "left_semi").select(*keys, "node")
         led = meeting.select(*keys, F.col("leader").alias("node"))
-        active = persist(spark, meeting.select(*keys, "node").distinct().join(gone.unionByName(led).distinct(), [*keys, "node"], "left_anti"), f"{label}-active")
+        active = persist(spark, meeting.select(*keys, "node", "order").distinct().join(gone.unionByName(led).distinct(), [*keys, "node"], "left_anti"), f"{label}-active")
         left = active.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
         if left.isEmpty():
             break
         leaders *= 2
-        active = active.join(left, keys, "left_semi")
-        ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("node"))).where(F.col("rank") <= leaders)
-        meeting = active.join(ranked.select(*keys, F.col("node").alias("leader")), keys).where("node > leader")
+        meeting = meet(active.join(left, keys, "left_semi"))
     everything = compared[0]
     for more in compared[1:]:
         everything = everything.unionByName(more)

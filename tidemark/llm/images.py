@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grouping import compare_with_leaders, components
+from .grouping import compare_with_leaders, components, meeting_rows
 
 SCALES = (1.0, 0.75, 0.5)
 PER_SCALE = 8
@@ -190,8 +190,7 @@ def image_copies(images: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = own.groupBy("node").agg(F.min("image").alias("image"))
     described = persist(spark, nodes.mapInArrow(_describe_batches, "node string, keys array<long>, points binary"), "image-points")
     banded = described.select("node", F.explode("keys").alias("key")).withColumn("band", F.shiftright("key", 32).cast("int"))
-    filled = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = persist(spark, banded.join(filled.select("band", "key", "least"), ["band", "key"]).select("band", "key", "node", "least"), "image-members")
+    members = persist(spark, meeting_rows(banded.select("band", "key", "node")), "image-members")
     points = described.select("node", "points")
 
     def compare(pairs: DataFrame) -> DataFrame:

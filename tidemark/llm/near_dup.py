@@ -9,14 +9,12 @@
 2. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each text; two texts agree on a sample with a
    chance equal to their weighted Jaccard similarity. Equal texts are one node from here on, known by a digest.
 3. Texts that agree on all samples of a band meet in a bucket. No bucket is gathered and no pairs are made within it: its
-   members are compared with its leader (the smallest digest), those that are similar leave, and the others go on with two leaders,
-   then four, and so on, until nobody is left to compare.
-4. Members just below the threshold to a leader may be similar to one that left with it. By the
-   triangle inequality of the Jaccard distance only members whose distance to the leader differs by at most 1 - threshold can
-   be; where they are not connected already, exactly these are compared.
-5. Similar pairs are joined to groups by alternating large and small stars, all in Spark.
+   members are compared with its LEADERS leaders, the texts that meet most others. Those at least ``EXPLAINED`` similar to one
+   leave the bucket, as that is why they are there; the others, there by chance, go on with twice as many leaders, and so on.
+4. Similar pairs are joined to groups by alternating large and small stars, all in Spark.
 
-A pair of similarity s shares a bucket with chance 1 - (1 - s ** ROWS) ** BANDS: 0.999 at 0.8.
+A pair of similarity s shares a bucket with chance 1 - (1 - s ** ROWS) ** BANDS: 0.999 at 0.8. Two texts of a crowd that are similar to
+each other, but not to the crowd's leaders, are found in the buckets that no leader of the crowd shares.
 
 Defined cases: a null text is empty; texts without words are near no other text, only equal to their copies; texts with fewer
 than five words have one shingle of all; ids may be null or repeat, groups are formed by text and named by their smallest id
@@ -32,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grouping import compare_with_leaders, components
+from .grouping import compare_with_leaders, components, meeting_rows
 from .words import blocks, mix64, shingle_hashes, word_hashes
 
-THRESHOLD = 0.8
+THRESHOLD, EXPLAINED = 0.8, 0.5
 BANDS, ROWS = 14, 4
+LEADERS = 6
 DF_BITS = 18
 KEYS, HEAVY = 4, 5000
 _QUANTILES = 1 << 16
@@ -223,28 +222,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Copies collapse: one row per text. The keys of equal texts are equal.
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
     banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    filled = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = persist(spark, banded.join(filled.select("band", "key", "least"), ["band", "key"]).select("band", "key", "node", "least"), "near-members")
+    members = persist(spark, meeting_rows(banded), "near-members")
     wanted = members.select("node").distinct()
     # Texts of the nodes that meet any other, once each.
     texts = persist(spark, docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
-    near = 1 - threshold
-    everything = compare_with_leaders(spark, members, lambda pairs: verify(pairs, texts, shared), threshold, "near")
-    edges = everything.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    compared = compare_with_leaders(spark, members, lambda pairs: verify(pairs, texts, shared), EXPLAINED, "near", leaders=LEADERS)
+    edges = compared.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     roots = persist(spark, components(spark, edges), "near-roots")
 
-    # Pairs that only a common leader brought near each other.
-    missed = everything.where((F.col("similarity") < threshold) & (F.col("similarity") >= threshold - near - 1e-9))
-    rooted = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", F.col(c)))
-    missed = rooted(rooted(missed, "node"), "leader").where("node_root != leader_root")
-    absorbed = everything.where(F.col("similarity") >= threshold).select(F.col("node").alias("other"), "leader", F.col("similarity").alias("to_leader"))
-    missed = missed.join(absorbed, "leader").where(F.col("to_leader") <= F.col("similarity") + near + 1e-9).select("node", F.col("other").alias("leader")).distinct()
-    if not missed.isEmpty():
-        more = persist(spark, verify(missed, texts, shared), "near-missed")
-        edges = edges.unionByName(more.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        roots = persist(spark, components(spark, edges), "near-roots")
-
     groups = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = groups.join(groups.groupBy("root").agg(F.min("first_id").alias("group_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept")), "root")
     named = named.select("node", "first_id", "group_id", (F.col("node") == F.col("kept.node")).alias("keeps"))

@@ -143,7 +143,7 @@ def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataF
     def guess(texts: pa.Array) -> pa.Array:
         return predict(texts, *model.value)
 
-    return docs.drop("lang_pred", "score").withColumn("_guess", guess(F.col("text"))).select("*", "_guess.lang_pred", "_guess.score").drop("_guess")
+    return docs.drop("lang_pred", "score").withColumn("tidemark__guess", guess(F.col("text"))).select("*", "tidemark__guess.lang_pred", "tidemark__guess.score").drop("tidemark__guess")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

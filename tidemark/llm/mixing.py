@@ -61,41 +61,41 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, max_epoch
     repeats times size. ``bucket_digits`` hexadecimal digits of the hash make a
     bucket, so about 16 ** -bucket_digits of a source is ordered in one task.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats", "taken")]
+    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "repeats", "taken")]
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(*[F.col(f"`{c}`") for c in own], word_count(F.col("text")).alias("size"), hashed.alias("_hash"))
-    sized = sized.withColumn("_bucket", F.substring("_hash", 1, bucket_digits))
+    sized = docs.select(*[F.col(f"`{c}`") for c in own], word_count(F.col("text")).alias("size"), hashed.alias("tidemark__hash"))
+    sized = sized.withColumn("tidemark__bucket", F.substring("tidemark__hash", 1, bucket_digits))
 
-    buckets = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_in"))
+    buckets = sized.groupBy("source", "tidemark__bucket").agg(F.sum("size").alias("_in"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("_in").alias("source_size")), weights, share, max_epochs)
     plan = targets.select(
-        F.col("source").alias("_source"),
+        F.col("source").alias("tidemark__source"),
         "source_size",
         "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("_whole"),
-    ).withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("tidemark__whole"),
+    ).withColumn("tidemark__part", F.col("target") - F.col("tidemark__whole") * F.col("source_size"))
 
     # The bucket of each source in which the fraction ends, and how much of it is wanted.
-    running = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("source").orderBy("tidemark__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = (
         buckets.withColumn("_upto", F.sum("_in").over(running))
-        .join(plan.select("_source", "_part"), F.col("source").eqNullSafe(F.col("_source")))
-        .where((F.col("_upto") >= F.col("_part")) & (F.col("_upto") - F.col("_in") < F.col("_part")))
-        .select("_source", F.col("_bucket").alias("_end"), (F.col("_part") - (F.col("_upto") - F.col("_in"))).alias("_wanted"))
+        .join(plan.select("tidemark__source", "tidemark__part"), F.col("source").eqNullSafe(F.col("tidemark__source")))
+        .where((F.col("_upto") >= F.col("tidemark__part")) & (F.col("_upto") - F.col("_in") < F.col("tidemark__part")))
+        .select("tidemark__source", F.col("tidemark__bucket").alias("tidemark__end"), (F.col("tidemark__part") - (F.col("_upto") - F.col("_in"))).alias("tidemark__wanted"))
     )
-    plan = plan.join(ends.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
+    plan = plan.join(ends.withColumnRenamed("tidemark__source", "tidemark__s"), F.col("tidemark__source").eqNullSafe(F.col("tidemark__s")), "left").drop("tidemark__s")
+    dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("tidemark__source")), "left")
 
-    inside = dealt.where(F.col("_bucket") == F.col("_end"))
-    outside = dealt.where(~F.coalesce(F.col("_bucket") == F.col("_end"), F.lit(False)))
-    outside = outside.withColumn("_more", F.coalesce(F.col("_bucket") < F.col("_end"), F.lit(False)).cast("long"))
-    in_order = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", F.xxhash64("text"))
+    inside = dealt.where(F.col("tidemark__bucket") == F.col("tidemark__end"))
+    outside = dealt.where(~F.coalesce(F.col("tidemark__bucket") == F.col("tidemark__end"), F.lit(False)))
+    outside = outside.withColumn("tidemark__more", F.coalesce(F.col("tidemark__bucket") < F.col("tidemark__end"), F.lit(False)).cast("long"))
+    in_order = Window.partitionBy("source", "tidemark__bucket").orderBy("tidemark__hash", "doc_id", F.xxhash64("text"))
     upto = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # Of the document that crosses the end, the half decides: it is taken if most of it is wanted.
-    inside = inside.withColumn("_more", (upto - F.col("size") / 2 <= F.col("_wanted")).cast("long"))
+    inside = inside.withColumn("tidemark__more", (upto - F.col("size") / 2 <= F.col("tidemark__wanted")).cast("long"))
     return (
         outside.unionByName(inside)
-        .withColumn("repeats", F.col("_whole") + F.col("_more"))
+        .withColumn("repeats", F.col("tidemark__whole") + F.col("tidemark__more"))
         .withColumn("taken", F.col("repeats") * F.col("size"))
         .select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", "repeats", "taken")
     )

@@ -244,10 +244,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = docs.columns
     groups = near_duplicates(docs, threshold).where("keeps")
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("text_class"))).groupBy("node", "text_class").agg(F.count("*").alias("times"))
-    first = persist(docs.sparkSession, first.select(F.col("node").alias("_node"), F.col("text_class").alias("_first"), F.col("times").alias("_times")), "near-kept")
+    first = persist(docs.sparkSession, first.select(F.col("node").alias("tidemark__node"), F.col("text_class").alias("tidemark__first"), F.col("times").alias("tidemark__times")), "near-kept")
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.join(first, (digest == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    return kept.where("_times = 1").unionByName(kept.where("_times > 1").dropDuplicates(["_node"])).select(*[F.col(f"`{c}`") for c in own])
+    kept = docs.join(first, (digest == F.col("tidemark__node")) & F.col("doc_id").eqNullSafe(F.col("tidemark__first")))
+    return kept.where("tidemark__times = 1").unionByName(kept.where("tidemark__times > 1").dropDuplicates(["tidemark__node"])).select(*[F.col(f"`{c}`") for c in own])
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

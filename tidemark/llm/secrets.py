@@ -123,15 +123,15 @@ def span_list(spans: Column, base_only: bool = False) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", vocabulary: str = VOCABULARY) -> DataFrame:
     """Replace every span of ``text`` by ``mark``; overlapping spans become one mark. Null texts stay null."""
-    found = find_secrets(docs, text, "_spans", vocabulary)
+    found = find_secrets(docs, text, "tidemark__spans", vocabulary)
     # Spans come by start: each adds what lies between the furthest end so far and its start, and a mark unless it overlaps.
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("upto"))
     step = lambda acc, s: F.struct(
         F.when(s["start"] < acc["upto"], acc["done"]).otherwise(F.concat(acc["done"], F.substring(F.col(text), acc["upto"] + 1, s["start"] - acc["upto"]), F.lit(mark))).alias("done"),
         F.greatest(acc["upto"], s["end"]).alias("upto"),
     )
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["upto"] + 1, F.length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, whole).otherwise(F.col(text))).drop("_spans")
+    whole = F.aggregate("tidemark__spans", start, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["upto"] + 1, F.length(F.col(text)))))
+    return found.withColumn(text, F.when(F.size("tidemark__spans") > 0, whole).otherwise(F.col(text))).drop("tidemark__spans")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

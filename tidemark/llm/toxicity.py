@@ -296,8 +296,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     return Model(lexicon, *fit_linear([hits[k] for k in order], y, len(lexicon.hashes) + len(SHARDS)))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Add score and predicted, from ``text`` alone. The broadcast model has at most MAX_ENTRIES entries and a fixed table of 1 MB."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, to: str = "score", flag: str = "predicted") -> DataFrame:
+    """Add the columns ``to`` and ``flag``, from ``text`` alone. The broadcast model has at most MAX_ENTRIES entries and a fixed table of 1 MB."""
     from ..runtime import ship
 
     ship(docs.sparkSession)
@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def of_text(texts: pa.Array) -> pa.Array:
         return shared.value.score(texts)
 
-    return docs.withColumn("score", of_text(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn(to, of_text(F.col("text"))).withColumn(flag, (F.col(to) >= threshold).cast("int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

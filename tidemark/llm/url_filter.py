@@ -68,11 +68,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         expressions.join(rules, F.col("_prefix") == F.col("_short"))
         .where(F.col("_digest") == F.col("_full"))
         .groupBy("host", "path")
-        .agg(F.max_by(F.struct(F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict")), rank).alias("_best"))
+        .agg(F.max_by(F.struct(F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict")), rank).alias("tidemark__best"))
     )
     joined = pages.join(best, ["host", "path"], "left")
-    kept = [c for c in pages.columns if c not in ("host", "path")]
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path")]
+    return joined.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("tidemark__best.rule").alias("rule"), F.coalesce("tidemark__best.verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of op9: host, path, verdict.

@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labels that are not held out, drop documents that score as toxic."""
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
-    names = docs.columns
-    return toxicity.score(docs, model).where("predicted = 0").select(*[F.col(f"`{c}`") for c in names])
+    scored = toxicity.score(docs, model, to="tidemark__score", flag="tidemark__toxic")
+    return scored.where("tidemark__toxic = 0").drop("tidemark__score", "tidemark__toxic")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 1. Equal images collapse by digest; one of each is a node.
 2. Corners (Harris) are found on three scales; each gets an orientation (intensity centroid) and 256 binary tests of smoothed
    intensities in a pattern turned by it.
-3. ``TABLES`` slices of 32 bits of every descriptor are the keys of hash tables; images that share keys meet in buckets, whose members are
-   compared with leaders (see ``grouping``), a pair if it shares at least ``MIN_VOTES`` keys.
+3. ``TABLES`` slices of 128 bits of every descriptor are the keys of hash tables; images that share keys meet in buckets, whose members are
+   compared with leaders (see ``grouping``), a pair if it shares at least ``MIN_VOTES`` keys. (Shorter slices meet by chance: of 6,000
+   images of random tiles 32 bits bring 85,842 pairs together, 64 bits 9,501, 128 bits 700; crops to 60 % and edits share 9 keys or more of 48.)
 4. Descriptors of a pair are matched (mutually nearest, at most ``MAX_DISTANCE`` bits); every match proposes a shift, turn and scale;
    the proposal that most matches agree with decides: at least ``MIN_INLIERS`` of them, and a share of the fewer corners of at least ``THRESHOLD``.
 
@@ -26,15 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grouping import compare_with_leaders, components, meeting_rows
+from .words import mix64
 
 SCALES = (1.0, 0.75, 0.5)
 PER_SCALE = 8
 RADIUS = 10
 TESTS = 256
-TABLES = 4
+TABLES = 2
 TURNS = 32
 MAX_DISTANCE = 60
-MIN_VOTES, MIN_INLIERS, THRESHOLD = 4, 5, 0.2
+MIN_VOTES, MIN_INLIERS, THRESHOLD = 3, 5, 0.2
 TOLERANCE = 3.0
 
 _rng = np.random.default_rng(5)
@@ -165,11 +167,17 @@ def consensus(a: np.ndarray, b: np.ndarray) -> float:
     return inliers / min(len(a), len(b)) if inliers >= MIN_INLIERS else 0.0
 
 
+def table_keys(points: np.ndarray) -> np.ndarray:
+    """64-bit names of the slices of all descriptors, other ones in each table."""
+    halves = np.ascontiguousarray(points["bits"]).view(np.uint64).reshape(len(points), TABLES, 2)
+    names = mix64(halves[..., 0] + np.uint64(0x9E3779B97F4A7C15)) ^ mix64(halves[..., 1])
+    return np.unique(mix64(names + np.arange(TABLES, dtype=np.uint64)).view(np.int64))
+
+
 def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = np.arange(TABLES, dtype=np.int64) << 32
     for batch in batches:
         points = describe_all(batch.column("image").to_pylist())
-        keys = [np.unique(p["bits"][:, : 4 * TABLES].copy().view("<u4").reshape(-1, TABLES).astype(np.int64) | salt).tolist() if len(p) >= MIN_INLIERS else [] for p in points]
+        keys = [table_keys(p).tolist() if len(p) >= MIN_INLIERS else [] for p in points]
         yield pa.record_batch([batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array([p.tobytes() for p in points], pa.binary())], names=["node", "keys", "points"])
 
 
@@ -189,7 +197,7 @@ def image_copies(images: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = persist(spark, own.select("image_id", "node"), "image-rows")
     nodes = own.groupBy("node").agg(F.min("image").alias("image"))
     described = persist(spark, nodes.mapInArrow(_describe_batches, "node string, keys array<long>, points binary"), "image-points")
-    banded = described.select("node", F.explode("keys").alias("key")).withColumn("band", F.shiftright("key", 32).cast("int"))
+    banded = described.select("node", F.lit(0).alias("band"), F.explode("keys").alias("key"))
     members = persist(spark, meeting_rows(banded.select("band", "key", "node")), "image-members")
     points = described.select("node", "points")
 

@@ -55,7 +55,7 @@ def ngrams(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
     has = np.zeros(n, bool)
     has[text[letter]] = True
     kept = letter.copy()
-    kept[1:] |= letter[:-1]  # a run of others leaves its first, as a blank
+    kept[1:] |= letter[:-1] & (text[1:] == text[:-1])  # a run of others leaves its first, as a blank
     chars = np.where(letter, points, np.uint32(32))[kept].astype(np.uint32)
     text = text[kept]
     found, of = [], []

@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 #: What counts as a word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Largest table of sources that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -61,9 +64,11 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, max_epoch
     repeats times size. ``bucket_digits`` hexadecimal digits of the hash make a
     bucket, so about 16 ** -bucket_digits of a source is ordered in one task.
     """
+    from ..runtime import persist
+
     own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "repeats", "taken")]
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(*[F.col(f"`{c}`") for c in own], word_count(F.col("text")).alias("size"), hashed.alias("tidemark__hash"))
+    sized = docs.select(*[F.col(f"`{c}`") for c in own], word_count(F.col("text")).alias("size"), hashed.alias("tidemark__hash"), F.xxhash64("text").alias("tidemark__text"))
     sized = sized.withColumn("tidemark__bucket", F.substring("tidemark__hash", 1, bucket_digits))
 
     buckets = sized.groupBy("source", "tidemark__bucket").agg(F.sum("size").alias("_in"))
@@ -84,12 +89,17 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, max_epoch
         .select("tidemark__source", F.col("tidemark__bucket").alias("tidemark__end"), (F.col("tidemark__part") - (F.col("_upto") - F.col("_in"))).alias("tidemark__wanted"))
     )
     plan = plan.join(ends.withColumnRenamed("tidemark__source", "tidemark__s"), F.col("tidemark__source").eqNullSafe(F.col("tidemark__s")), "left").drop("tidemark__s")
+    # One row per source: written, measured, and broadcast if it is small; else the join is left to Spark, which splits hot sources.
+    plan = persist(docs.sparkSession, plan, "mixing-plan")
+    size = plan.agg(F.count("*").alias("rows"), F.sum(F.octet_length("tidemark__source")).alias("bytes")).first()
+    if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        plan = F.broadcast(plan)
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("tidemark__source")), "left")
 
     inside = dealt.where(F.col("tidemark__bucket") == F.col("tidemark__end"))
     outside = dealt.where(~F.coalesce(F.col("tidemark__bucket") == F.col("tidemark__end"), F.lit(False)))
     outside = outside.withColumn("tidemark__more", F.coalesce(F.col("tidemark__bucket") < F.col("tidemark__end"), F.lit(False)).cast("long"))
-    in_order = Window.partitionBy("source", "tidemark__bucket").orderBy("tidemark__hash", "doc_id", F.xxhash64("text"))
+    in_order = Window.partitionBy("source", "tidemark__bucket").orderBy("tidemark__hash", "doc_id", "tidemark__text")
     upto = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # Of the document that crosses the end, the half decides: it is taken if most of it is wanted.
     inside = inside.withColumn("tidemark__more", (upto - F.col("size") / 2 <= F.col("tidemark__wanted")).cast("long"))

@@ -247,3 +247,9 @@ def test_rules_equal_brute_force(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute_judge(r["url"], known), r
     assert {r["verdict"] for r in url_filter.filter_urls(df, table.limit(0), default="block").collect()} == {"block"}
     assert url_filter.filter_urls(df.limit(0), table).count() == 0
+
+
+def test_mix_without_a_broadcast_gives_the_same(spark, sf_dir, monkeypatch):
+    broadcast = sorted(map(tuple, mixing.op8_mixing(spark, sf_dir).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, mixing.op8_mixing(spark, sf_dir).collect())) == broadcast

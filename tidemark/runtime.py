@@ -44,7 +44,17 @@ def persist(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames made by ``persist`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_tidemark_path", None)
+        if path is not None:
+            drop_scratch(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:

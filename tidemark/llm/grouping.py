@@ -58,7 +58,7 @@ def compare_with_leaders(spark: SparkSession, members: DataFrame, compare: Calla
     at least ``votes`` buckets of a round. No bucket is gathered into one row or task: leaders are found by aggregation or
     by a rank that Spark limits before it shuffles, and a hot bucket's rows are split in the join.
     """
-    from ..runtime import persist
+    from ..runtime import discard, persist
 
     keys = ["band", "key"]
     def meet(active: DataFrame) -> DataFrame:
@@ -67,6 +67,7 @@ def compare_with_leaders(spark: SparkSession, members: DataFrame, compare: Calla
 
     meeting = meet(members)
     compared: list[DataFrame] = []
+    before = None
     while True:
         pairs = meeting.groupBy("node", "leader").agg(F.count("*").alias("met")).where(F.col("met") >= votes).select("node", "leader")
         found = persist(spark, compare(pairs), f"{label}-compared")
@@ -75,6 +76,9 @@ def compare_with_leaders(spark: SparkSession, members: DataFrame, compare: Calla
         gone = meeting.join(known, ["node", "leader"], "left_semi").select(*keys, "node")
         led = meeting.select(*keys, F.col("leader").alias("node"))
         active = persist(spark, meeting.select(*keys, "node", "order").distinct().join(gone.unionByName(led).distinct(), [*keys, "node"], "left_anti"), f"{label}-active")
+        if before is not None:
+            discard(before)
+        before = active
         left = active.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
         if left.isEmpty():
             break
@@ -83,4 +87,6 @@ def compare_with_leaders(spark: SparkSession, members: DataFrame, compare: Calla
     everything = compared[0]
     for more in compared[1:]:
         everything = everything.unionByName(more)
-    return persist(spark, everything.distinct(), f"{label}-similarities")
+    everything = persist(spark, everything.distinct(), f"{label}-similarities")
+    discard(before, *compared)
+    return everything

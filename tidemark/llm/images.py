@@ -189,7 +189,7 @@ def _consensus_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def image_copies(images: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``images`` (image_id, image): image_id, image_class (smallest id of an equal image) and group_id (smallest id of the group of copies)."""
-    from ..runtime import persist, ship
+    from ..runtime import discard, persist, ship
 
     spark = images.sparkSession
     ship(spark)
@@ -205,8 +205,10 @@ def image_copies(images: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         joined = pairs.join(points, "node").join(points.select(F.col("node").alias("leader"), F.col("points").alias("leader_points")), "leader")
         return joined.select("node", "leader", "points", "leader_points").mapInArrow(_consensus_batches, "node string, leader string, similarity double")
 
-    similar = compare_with_leaders(spark, members, compare, threshold, "image", MIN_VOTES).where(F.col("similarity") >= threshold)
+    compared = compare_with_leaders(spark, members, compare, threshold, "image", MIN_VOTES)
+    similar = compared.where(F.col("similarity") >= threshold)
     roots = persist(spark, components(spark, similar.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "image-roots")
+    discard(described, members, compared)
     classes = rows.groupBy("node").agg(F.min("image_id").alias("image_class")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.join(classes.groupBy("root").agg(F.min("image_class").alias("group_id")), "root").select("node", "image_class", "group_id")
     return rows.join(named, "node").select("image_id", "image_class", "group_id")

@@ -211,7 +211,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, node (digest of the text), text_class (smallest id with an equal text),
     group_id (smallest id of the group) and keeps (whether the text is the one of its group that stays: that of the smallest id)."""
-    from ..runtime import persist, ship
+    from ..runtime import discard, persist, ship
 
     spark = docs.sparkSession
     ship(spark)
@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     compared = compare_with_leaders(spark, members, lambda pairs: verify(pairs, texts, shared), EXPLAINED, "near", leaders=LEADERS)
     edges = compared.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     roots = persist(spark, components(spark, edges), "near-roots")
+    discard(members, texts, compared)
 
     groups = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = groups.join(groups.groupBy("root").agg(F.min("first_id").alias("group_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept")), "root")

@@ -277,7 +277,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); hold rows out by leaving them out of ``labels``."""
-    from ..runtime import ship
+    from ..runtime import discard, ship
 
     ship(docs.sparkSession)
     sample = training_sample(docs, labels, train_rows)
@@ -288,6 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         return Model(none, np.zeros(len(SHARDS)), 30.0 if n_toxic else -30.0)
     lexicon = induce(sample, n_toxic, n_clean)
     rows = sample.mapInArrow(_hits_and_votes(lexicon), "toxic int, hits array<int>, votes binary").toArrow()
+    discard(sample)
     hits = [np.asarray(h, np.int64) for h in rows["hits"].to_pylist()]
     given = rows["toxic"].to_numpy()
     cast = np.frombuffer(b"".join(rows["votes"].to_pylist()), np.int8).reshape(len(given), -1)

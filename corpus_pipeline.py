@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, near_dup, secrets, toxicity
 from tidemark.llm.language import held_out
-from tidemark.runtime import persist, table
+from tidemark.runtime import discard, persist, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = persist(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, persist(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,7 @@ def test_words_and_shingles_equal_plain_python():
     texts = [prose(rng, rng.randrange(0, 40), rng.choice(["xx", "yy"])) for _ in range(200)] + ["", "A a", "x" * 5000, "日本 日本", "one two three", None]
     split = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").lower().encode())
     names: dict = {}
-    for row, block in words.blocks(pa.array(texts), limit=700):
+    for row, block in [*words.blocks(pa.array(texts), limit=700), *words.blocks(pa.array(texts), limit=1)]:
         hashes, bounds, beginnings = words.word_hashes(block, (4, 6))
         shingles, at = words.shingle_hashes(hashes, bounds)
         for k in range(len(block)):
@@ -365,3 +365,20 @@ def test_pipeline_stages(spark, sf_dir):
     total = docs.agg(F.sum("taken"), F.sum("size")).first()
     assert abs(total[0] - 1.5 * total[1]) < 0.1 * total[1]
     assert corpus_pipeline.run(spark, sf_dir).count() == counts[5]
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = [(k if k % 9 else None, None if k % 7 == 0 else prose(rng, rng.choice([0, 1, 3, 30])), None if k % 5 == 0 else "xx", None if k % 4 == 0 else f"s{k % 3}", None if k % 3 == 0 else k, "e") for k in range(60)]
+    rows += rows[:10] + [(500, "long " * 50_000, "xx", "s1", 1, "e"), (501, "", "xx", "s1", 0, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string").withColumns({"node": F.lit(1), "predicted": F.lit("p"), "target_": F.lit(2)})
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, sf_dir).cache()
+            assert (out.count() > 0) == (given is docs)
+            if name != "mixing":
+                assert out.columns == docs.columns
+            if name == "near_dedup" and given is docs:
+                assert out.where("text IS NULL OR text = ''").count() == 1 and out.where("doc_id = 500").count() == 1

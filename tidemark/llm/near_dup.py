@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.md5("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.md5("text"))
     shared = spark.sparkContext.broadcast(shingle_weights(docs.select("text")))
     signed = persist(spark, docs.select("doc_id", "node", "text").mapInArrow(_band_keys(shared), "doc_id long, node string, keys array<long>"), "near-signatures")
 

@@ -107,9 +107,8 @@ def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> tup
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     left = np.repeat(bounds[1:], counts) - np.arange(n)  # words from here to the end of the text
     total = hashes * _STEPS[0]
-    for k in range(1, size):
-        part = np.where(left[: n - k] > k, hashes[k:] * _STEPS[k], np.uint64(0)) if n > k else np.zeros(0, np.uint64)
-        total[: n - k] += part
+    for k in range(1, min(size, n)):
+        total[: n - k] += np.where(left[: n - k] > k, hashes[k:] * _STEPS[k], np.uint64(0))
     is_one = left >= size
     short = (counts > 0) & (counts < size)
     is_one[bounds[:-1][short]] = True

@@ -248,7 +248,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = persist(docs.sparkSession, first.select(F.col("node").alias("tidemark__node"), F.col("text_class").alias("tidemark__first"), F.col("times").alias("tidemark__times")), "near-kept")
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     kept = docs.join(first, (digest == F.col("tidemark__node")) & F.col("doc_id").eqNullSafe(F.col("tidemark__first")))
-    return kept.where("tidemark__times = 1").unionByName(kept.where("tidemark__times > 1").dropDuplicates(["tidemark__node"])).select(*[F.col(f"`{c}`") for c in own])
+    if not first.where("tidemark__times > 1").isEmpty():  # equal rows, id included: only these are shuffled again
+        kept = kept.where("tidemark__times = 1").unionByName(kept.where("tidemark__times > 1").dropDuplicates(["tidemark__node"]))
+    return kept.select(*[F.col(f"`{c}`") for c in own])
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,25 @@ def test_a_crowd_of_near_copies_is_one_group(spark):
     assert all(r["group_id"] == r["doc_id"] for r in got if r["doc_id"] >= 1000)
 
 
+def test_near_copies_within_a_crowd_of_template_texts(spark):
+    rng = random.Random(14)
+    template, rows = [f"frame{k}" for k in range(200)], []
+    for k in range(60):  # instances share the frame, and are 0.5 to 0.8 similar; each has a near copy
+        own = [*template, *[f"own{k}x{w}" for w in range(26)]]
+        edited = list(own)
+        for at in (203, 208, 213, 218):
+            edited[at] = f"edit{k}at{at}"
+        rows += [(k, " ".join(own)), (1000 + k, " ".join(edited))]
+    rows += [(5000 + k, prose(rng, 60)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = near_dup.shingle_weights(df.select("text"))
+    sets = list(near_dup.weighted_sets(pa.array([t for _, t in rows[:120]]), weights))
+    cross = [near_dup.jaccard(sets[i], sets[j]) for i in range(120) for j in range(i) if i // 2 != j // 2]
+    assert 0.5 < min(cross) and max(cross) < 0.8 and all(near_dup.jaccard(sets[i], sets[i + 1]) >= 0.8 for i in range(0, 120, 2))
+    got = {r["doc_id"]: r["group_id"] for r in near_dup.near_duplicates(df).collect()}
+    assert [k for k in range(60) if got[k] != k or got[1000 + k] != k] == []
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.near_duplicates(empty).count() == 0 and near_dup.keep_one(empty).count() == 0

@@ -12,9 +12,12 @@
    members are compared with its LEADERS leaders, the texts that meet most others. Those at least ``EXPLAINED`` similar to one
    leave the bucket, as that is why they are there; the others, there by chance, go on with twice as many leaders, and so on.
 4. Similar pairs are joined to groups by alternating large and small stars, all in Spark.
+5. In buckets of more than ``LEADERS + 1`` texts members that left with a leader were not compared with each other. Where such a bucket holds
+   more than one group, its members are dealt to blocks of about ``BLOCK``, every two blocks meet as one row, and all pairs of different
+   groups that agree on at least ``AGREE`` of the samples are verified too, within that row (a pair of similarity 0.8 does not with chance 0.0003). Then groups are formed anew.
 
 A pair of similarity s shares a bucket with chance 1 - (1 - s ** ROWS) ** BANDS: 0.999 at 0.8. Two texts of a crowd that are similar to
-each other, but not to the crowd's leaders, are found in the buckets that no leader of the crowd shares.
+each other, but not to the crowd's leaders, are found by step 5, whose work grows with the square of a bucket of many groups.
 
 Defined cases: a null text is empty; texts without words are near no other text, only equal to their copies; texts with fewer
 than five words have one shingle of all; ids may be null or repeat, groups are formed by text and named by their smallest id
@@ -36,9 +39,12 @@ from .words import blocks, mix64, shingle_hashes, word_hashes
 THRESHOLD, EXPLAINED = 0.8, 0.5
 BANDS, ROWS = 14, 4
 LEADERS = 6
+BLOCK, AGREE = 64, 34
 DF_BITS = 18
 KEYS, HEAVY = 4, 5000
 _QUANTILES = 1 << 16
+#: Shingles of the sets a task keeps while it compares blocks.
+KEPT_SHINGLES = 4_000_000
 
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,14 +166,16 @@ def _band_keys(shared):
         salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
         mixers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
         for batch in batches:
-            keys = []
+            keys, samples = [], []
             for hashes, own in weighted_sets(batch.column("text"), weights):
                 if len(hashes):
                     names = sampler.draw(hashes, own).reshape(BANDS, ROWS)
+                    samples.append((names >> np.uint64(48)).astype(np.uint16).tobytes())
                     keys.append(mix64((names * mixers[:ROWS]).sum(1, dtype=np.uint64) ^ salt).view(np.int64).tolist())
                 else:
                     keys.append([])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+                    samples.append(b"")
+            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.binary())], names=["doc_id", "node", "keys", "samples"])
 
     return run
 
@@ -208,6 +216,59 @@ def verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     return joined.select("node", "leader", "text", "leader_text").mapInArrow(_similarities(shared), "node string, leader string, similarity double")
 
 
+def _across_groups(shared, threshold: float):
+    """Similar pairs of two blocks' members that are of different groups, agree on at least AGREE samples, and share no earlier band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, sets, size = shared.value, {}, 0
+
+        def set_of(node, text):
+            nonlocal size
+            if node not in sets:
+                if size > KEPT_SHINGLES:
+                    sets.clear()
+                    size = 0
+                sets[node] = next(weighted_sets(pa.array([text.as_py()]), weights))
+                size += len(sets[node][0])
+            return sets[node]
+
+        for batch in batches:
+            for row in range(len(batch)):
+                band, same = batch.column("band")[row].as_py(), batch.column("same")[row].as_py()
+                left, right = batch.column("members")[row].values, batch.column("others")[row].values
+                (names, roots, a), (others, other_roots, b) = ((m.field("node").to_pylist(), m.field("root").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(m.field("samples").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)) for m in (left, right))
+                found = []
+                for lo in range(0, len(a), BLOCK):
+                    equal = a[lo : lo + BLOCK, None] == b[None]
+                    meets = equal.reshape(*equal.shape[:2], BANDS, ROWS).all(3)
+                    wanted = (equal.sum(2) >= AGREE) & ~meets[..., :band].any(2) & (roots[lo : lo + BLOCK, None] != other_roots[None])
+                    for i, j in zip(*np.nonzero(wanted), strict=True):
+                        if same and i + lo >= j:
+                            continue
+                        s = jaccard(set_of(names[i + lo], left.field("text")[int(i) + lo]), set_of(others[j], right.field("text")[int(j)]))
+                        if s >= threshold:
+                            found.append((names[i + lo], others[j], s))
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64())], names=["node", "leader", "similarity"])
+
+    return run
+
+
+def across_groups(members: DataFrame, roots: DataFrame, samples: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """Similar pairs (node, leader, similarity) of different groups that meet in a bucket of more than LEADERS + 1.
+
+    ``members`` has band, key and node, ``roots`` node and root, ``samples`` node and samples, ``texts`` node and text. No bucket is gathered: its members are dealt to blocks by hash.
+    """
+    keys = ["band", "key"]
+    crowded = members.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > LEADERS + 1)
+    rooted = members.select(*keys, "node").join(crowded, keys).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy(*keys).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select(*keys)
+    dealt = rooted.join(mixed, keys).withColumn("block", F.expr(f"pmod(xxhash64(node), cast(ceil(n / {BLOCK}) as long))"))
+    blocks_ = dealt.join(samples, "node").join(texts, "node").groupBy(*keys, "block").agg(F.collect_list(F.struct("node", "root", "samples", "text")).alias("members"))
+    others = blocks_.select(*keys, F.col("block").alias("other"), F.col("members").alias("others"))
+    meeting = blocks_.join(others, keys).where("block <= other").select("band", (F.col("block") == F.col("other")).alias("same"), "members", "others")
+    return meeting.mapInArrow(_across_groups(shared, threshold), "node string, leader string, similarity double")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, node (digest of the text), text_class (smallest id with an equal text),
     group_id (smallest id of the group) and keeps (whether the text is the one of its group that stays: that of the smallest id)."""
@@ -217,7 +278,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.md5("text"))
     shared = spark.sparkContext.broadcast(shingle_weights(docs.select("text")))
-    signed = persist(spark, docs.select("doc_id", "node", "text").mapInArrow(_band_keys(shared), "doc_id long, node string, keys array<long>"), "near-signatures")
+    signed = persist(spark, docs.select("doc_id", "node", "text").mapInArrow(_band_keys(shared), "doc_id long, node string, keys array<long>, samples binary"), "near-signatures")
 
     # Copies collapse: one row per text. The keys of equal texts are equal.
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
@@ -228,9 +289,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = persist(spark, docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     compared = compare_with_leaders(spark, members, lambda pairs: verify(pairs, texts, shared), EXPLAINED, "near", leaders=LEADERS)
-    edges = compared.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    roots = persist(spark, components(spark, edges), "near-roots")
-    discard(members, texts, compared)
+    similar = lambda pairs: pairs.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    roots = persist(spark, components(spark, similar(compared)), "near-roots")
+
+    samples = signed.groupBy("node").agg(F.first("samples").alias("samples"))
+    missed = persist(spark, across_groups(members, roots, samples, texts, shared, threshold), "near-missed")
+    if not missed.isEmpty():
+        before, roots = roots, persist(spark, components(spark, similar(compared).unionByName(similar(missed))), "near-roots")
+        discard(before)
+    discard(members, texts, compared, missed)
 
     groups = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = groups.join(groups.groupBy("root").agg(F.min("first_id").alias("group_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept")), "root")

@@ -332,6 +332,16 @@ def test_language_of_odd_rows(spark):
     assert few[0] == model[0] and language.identify(df.limit(0), *few).count() == 0
 
 
+def test_a_rare_language_is_learned_from_many_rows(spark):
+    rare = spark.createDataFrame([(-k, "wabbo zukko " + prose(random.Random(k), 2, "yy"), "rare") for k in range(1, 4)], "doc_id long, text string, lang string")
+    many = spark.range(400_000).select(F.col("id").alias("doc_id"), F.expr("concat('toring maled ', id % 7)").alias("text"), F.lit("xx").alias("lang"))
+    bare = spark.createDataFrame([(-9, "123", "bare")], "doc_id long, text string, lang string")
+    for bound in ({}, {"train_rows": 5_000}):
+        model = language.train(rare.unionByName(many).unionByName(bare), **bound)
+        assert {r["lang_pred"] for r in language.identify(rare, *model).collect()} == {"rare"}
+        assert model[0] == ["rare", "xx"]
+
+
 # --- images ----------------------------------------------------------------------------------------------------------
 
 

@@ -6,11 +6,11 @@ by language are summed in Spark; the log-probability matrix (languages times
 buckets, its size fixed by these) is broadcast, and a batch of texts is scored
 by gathering the matrix rows of its n-grams and summing them by text.
 
-Training takes at most about ``train_rows`` rows, chosen by a hash of the id,
-with the same expected share of every language; below that bound all rows.
+Training takes all rows. A caller may bound them by ``train_rows``: rows are then chosen by a hash of the id, with the
+same expected share of every language, but all rows of a language with up to ``FEW`` and about as many of any other at least.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
-rows whose language is null do not train; without any training rows everything
+rows whose language is null do not train; a language without any n-gram is not listed; without any training rows everything
 is ``und``; ties go to the language that comes first by code point. Extra
 columns pass through; one named like a result is replaced.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .words import blocks, raw_bytes
 
 BUCKETS = 1 << 15
-TRAIN_ROWS = 40_000
+FEW = 1_000
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
@@ -58,7 +58,7 @@ def ngrams(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
     kept[1:] |= letter[:-1] & (text[1:] == text[:-1])  # a run of others leaves its first, as a blank
     chars = np.where(letter, points, np.uint32(32))[kept].astype(np.uint32)
     text = text[kept]
-    found, of = [], []
+    found, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     h = np.zeros(len(chars), np.uint32)
     for k in range(3):
         if len(chars) <= k:
@@ -88,21 +88,24 @@ def _counts(languages: list[str], buckets: int):
     return run
 
 
-def train(rows: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame, train_rows: int | None = None, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each bucket and language (buckets by languages), from rows with doc_id, text and lang."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((buckets, 0), np.float32)
-    share = min(1.0, train_rows / sum(sizes.values()))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < int(share * 1_000_003))
+    if train_rows is not None and train_rows < sum(sizes.values()):
+        share = train_rows / sum(sizes.values())
+        cuts = [F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, max(share, FEW / n)) * 1_000_003))]
+        rows = rows.where(F.coalesce(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < F.element_at(F.create_map(*cuts), F.col("lang")), F.lit(False)))
     counted = rows.select("text", "lang").mapInArrow(_counts(languages, buckets), "cell long, n long")
     total = np.zeros(len(languages) * buckets)
     for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
         total[r.column("cell").to_numpy()] = r.column("n").to_numpy()
-    counts = total.reshape(len(languages), buckets) + 0.1
+    counts = total.reshape(len(languages), buckets)
+    some = counts.any(1)
+    languages, counts = [x for x, ok in zip(languages, some, strict=True) if ok], counts[some] + 0.1
     return languages, np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
 
 

@@ -360,6 +360,30 @@ def test_crops_and_edits_are_found(spark):
     assert images.image_copies(df.limit(0)).count() == 0
 
 
+def test_edited_copies_meet_as_brute_force_says(spark):
+    """Copies that are resized, turned, noisy, quantised or blurred, against consensus of all of them with their originals."""
+
+    def warp(p, s, degrees):
+        (h, w), t = p.shape, np.deg2rad(degrees)
+        y, x = np.mgrid[: int(h * s), : int(w * s)]
+        y, x = (y + 0.5) / s - h / 2, (x + 0.5) / s - w / 2
+        at_y = np.clip(np.cos(t) * y + np.sin(t) * x + h / 2 - 0.5, 0, h - 1.001)
+        at_x = np.clip(-np.sin(t) * y + np.cos(t) * x + w / 2 - 0.5, 0, w - 1.001)
+        i, j = at_y.astype(int), at_x.astype(int)
+        u, v, a = at_y - i, at_x - j, p.astype(float)
+        return a[i, j] * (1 - u) * (1 - v) + a[i + 1, j] * u * (1 - v) + a[i, j + 1] * (1 - u) * v + a[i + 1, j + 1] * u * v
+
+    rng = np.random.default_rng(15)
+    base = [images.render(rng.normal(size=64)) for _ in range(40)]
+    edits = [lambda p: warp(p, 0.95, 0), lambda p: warp(p, 1, 3), lambda p: np.clip(p + rng.normal(0, 8, p.shape), 0, 255), lambda p: p // 16 * 16 + 8, lambda p: images._box(p.astype(float), 1)]
+    rows = [(k, images.write_pgm(p)) for k, p in enumerate(base)] + [(100 * (e + 1) + k, images.write_pgm(edit(p))) for e, edit in enumerate(edits) for k, p in enumerate(base)]
+    points = dict(zip([i for i, _ in rows], images.describe_all([d for _, d in rows]), strict=True))
+    similar = [i for i in points if i >= 100 and images.consensus(points[i], points[i % 100]) >= images.THRESHOLD]
+    got = {r["image_id"]: r["group_id"] for r in images.image_copies(spark.createDataFrame([(i, bytearray(d)) for i, d in rows], "image_id long, image binary")).collect()}
+    assert len(similar) > 80 and np.mean([got[i] == got[i % 100] for i in similar]) >= 0.9
+    assert len({got[k] for k in range(40)}) == 40
+
+
 def test_consensus_of_other_images_is_zero():
     rng = np.random.default_rng(12)
     points = images.describe(np.stack([images.render(rng.normal(size=64)) for _ in range(60)]))

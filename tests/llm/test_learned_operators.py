@@ -145,6 +145,47 @@ def test_near_copies_within_a_crowd_of_template_texts(spark):
     assert [k for k in range(60) if got[k] != k or got[1000 + k] != k] == []
 
 
+def test_block_similarities_equal_pair_by_pair(monkeypatch):
+    rng = random.Random(17)
+    weights = np.random.default_rng(17).uniform(0.5, 6, 1 << near_dup.DF_BITS).astype(np.float32)
+    texts = [prose(rng, rng.choice([0, 3, 30, 31])) for _ in range(12)] + ["a b c d e " * 9, "a b c d e " * 4, ""]
+    texts += [t + " tail" for t in texts]
+    sets = list(near_dup.weighted_sets(pa.array(texts), weights))
+    packed = []
+    for items, own in near_dup.unit_items(pa.array(texts), weights):
+        rows = np.empty(len(items), near_dup.ITEM)
+        rows["item"], rows["weight"] = items, own
+        packed.append(rows.tobytes())
+    expected = np.array([[near_dup.jaccard(a, b) for b in sets[5:]] for a in sets])
+    for cells in (near_dup.CELLS, 100):
+        monkeypatch.setattr(near_dup, "CELLS", cells)
+        assert np.allclose(near_dup.block_similarities(packed, packed[5:]), expected, atol=1e-6)
+    pairs = [[near_dup.jaccard(near_dup._unpack(a), near_dup._unpack(b)) for b in packed[5:]] for a in packed]
+    assert np.allclose(pairs, expected, atol=1e-6)
+
+
+def test_spanning_links_join_what_the_pairs_join():
+    rng = np.random.default_rng(18)
+    for _ in range(50):
+        roots, others = (rng.integers(0, 8, 12).astype(str).tolist() for _ in range(2))
+        similar = rng.random((12, 12)) < 0.1
+
+        def closed(pairs, roots=roots, others=others):
+            parent = {r: r for r in (*roots, *others)}
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for i, j in pairs:
+                parent[root(roots[i])] = root(others[j])
+            return {frozenset(x for x in parent if root(x) == r) for r in parent if root(r) == r}
+
+        links = grouping.spanning_links(similar, roots, others)
+        assert closed(links) == closed(np.argwhere(similar)) and len(links) < len({*roots, *others})
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.near_duplicates(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
@@ -360,28 +401,102 @@ def test_crops_and_edits_are_found(spark):
     assert images.image_copies(df.limit(0)).count() == 0
 
 
-def test_edited_copies_meet_as_brute_force_says(spark):
-    """Copies that are resized, turned, noisy, quantised or blurred, against consensus of all of them with their originals."""
+def warp(p, s, degrees):
+    (h, w), t = p.shape, np.deg2rad(degrees)
+    y, x = np.mgrid[: int(h * s), : int(w * s)]
+    y, x = (y + 0.5) / s - h / 2, (x + 0.5) / s - w / 2
+    at_y = np.clip(np.cos(t) * y + np.sin(t) * x + h / 2 - 0.5, 0, h - 1.001)
+    at_x = np.clip(-np.sin(t) * y + np.cos(t) * x + w / 2 - 0.5, 0, w - 1.001)
+    i, j = at_y.astype(int), at_x.astype(int)
+    u, v, a = at_y - i, at_x - j, p.astype(float)
+    return a[i, j] * (1 - u) * (1 - v) + a[i + 1, j] * u * (1 - v) + a[i, j + 1] * (1 - u) * v + a[i + 1, j + 1] * u * v
+
+
+def texture(rng, side=120):
+    a = images._box(images._box(rng.normal(size=(side, side)), 1), 2)
+    return (a - a.min()) / (a.max() - a.min()) * 255
+
+
+def similar_pairs(rows):
+    """Brute force: consensus of all pairs of images."""
+    points = images.describe_all([d for _, d in rows])
+    return [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if images.consensus(points[i], points[j]) >= images.THRESHOLD]
+
+
+def image_groups(spark, rows):
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in rows], "image_id long, image binary")
+    return {r["image_id"]: r["group_id"] for r in images.image_copies(df).collect()}
 
-    def warp(p, s, degrees):
-        (h, w), t = p.shape, np.deg2rad(degrees)
-        y, x = np.mgrid[: int(h * s), : int(w * s)]
-        y, x = (y + 0.5) / s - h / 2, (x + 0.5) / s - w / 2
-        at_y = np.clip(np.cos(t) * y + np.sin(t) * x + h / 2 - 0.5, 0, h - 1.001)
-        at_x = np.clip(-np.sin(t) * y + np.cos(t) * x + w / 2 - 0.5, 0, w - 1.001)
-        i, j = at_y.astype(int), at_x.astype(int)
-        u, v, a = at_y - i, at_x - j, p.astype(float)
-        return a[i, j] * (1 - u) * (1 - v) + a[i + 1, j] * u * (1 - v) + a[i, j + 1] * (1 - u) * v + a[i + 1, j + 1] * u * v
 
+def test_descriptors_turn_with_the_image():
+    rng = np.random.default_rng(16)
+    for p in (texture(rng), images.render(rng.normal(size=64))):
+        points = images.describe(p[None])[0]
+        for quarter in (1, 2, 3):
+            turned = images.describe(np.rot90(p, quarter)[None])[0]
+            distance = np.bitwise_count(points["bits"][:, None] ^ turned["bits"][None]).sum(2)
+            assert np.median(distance.min(1)) <= 2 and images.consensus(points, turned) > 0.8
+
+
+def test_edited_copies_of_textures_are_found(spark):
+    rng = np.random.default_rng(15)
+    base = [texture(rng) for _ in range(12)]
+    edits = [
+        lambda p: np.rot90(p), lambda p: np.rot90(p, 2), lambda p: np.rot90(p, 3), lambda p: warp(p, 1, 20), lambda p: warp(p, 1, -7), lambda p: warp(p, 0.95, 0), lambda p: warp(p, 0.75, 0),
+        lambda p: p[24:, :96], lambda p: p[14:106, 14:106], lambda p: np.clip(p + rng.normal(0, 8, p.shape), 0, 255), lambda p: p // 16 * 16 + 8, lambda p: images._box(p, 1), lambda p: p * 0.7 + 20,
+    ]
+    rows = [(k, images.write_pgm(p)) for k, p in enumerate(base)] + [(100 * (e + 1) + k, images.write_pgm(edit(p))) for e, edit in enumerate(edits) for k, p in enumerate(base)]
+    got = image_groups(spark, rows)
+    for e in range(len(edits)):
+        assert np.mean([got[100 * (e + 1) + k] == k for k in range(12)]) >= 0.9, e
+    assert len({got[k] for k in range(12)}) == 12
+
+
+def test_groups_of_tiles_against_brute_force(spark):
+    """Tiles and their edited copies: all pairs by consensus, and the groups they make, against the buckets'."""
     rng = np.random.default_rng(15)
-    base = [images.render(rng.normal(size=64)) for _ in range(40)]
-    edits = [lambda p: warp(p, 0.95, 0), lambda p: warp(p, 1, 3), lambda p: np.clip(p + rng.normal(0, 8, p.shape), 0, 255), lambda p: p // 16 * 16 + 8, lambda p: images._box(p.astype(float), 1)]
+    base = [images.render(rng.normal(size=64)) for _ in range(30)]
+    edits = [lambda p: warp(p, 0.95, 0), lambda p: warp(p, 1, 3), lambda p: np.clip(p + rng.normal(0, 8, p.shape), 0, 255), lambda p: p // 16 * 16 + 8, lambda p: images._box(p.astype(float), 1), lambda p: np.rot90(p)]
     rows = [(k, images.write_pgm(p)) for k, p in enumerate(base)] + [(100 * (e + 1) + k, images.write_pgm(edit(p))) for e, edit in enumerate(edits) for k, p in enumerate(base)]
+    pairs = similar_pairs(rows)
+    got = image_groups(spark, rows)
+    assert len(pairs) > 200 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.9
+    parent = {i: i for i, _ in rows}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    assert all(root(i) == root(g) for i, g in got.items())
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    """Many images that share a corner, and pairs of copies among them: leaders alone do not see these."""
+    rng = np.random.default_rng(21)
+    shared = texture(rng, 60)
+    rows = []
+    for k in range(40):
+        p = np.concatenate([np.concatenate([shared, texture(rng, 60)], 1), np.concatenate([texture(rng, 60), texture(rng, 60)], 1)])
+        rows += [(k, images.write_pgm(p)), (1000 + k, images.write_pgm(np.clip(p + rng.normal(0, 4, p.shape), 0, 255)))]
+    threshold = 0.6
     points = dict(zip([i for i, _ in rows], images.describe_all([d for _, d in rows]), strict=True))
-    similar = [i for i in points if i >= 100 and images.consensus(points[i], points[i % 100]) >= images.THRESHOLD]
-    got = {r["image_id"]: r["group_id"] for r in images.image_copies(spark.createDataFrame([(i, bytearray(d)) for i, d in rows], "image_id long, image binary")).collect()}
-    assert len(similar) > 80 and np.mean([got[i] == got[i % 100] for i in similar]) >= 0.9
-    assert len({got[k] for k in range(40)}) == 40
+    assert all(images.consensus(points[k], points[1000 + k]) >= threshold for k in range(40))
+    assert max(images.consensus(points[k], points[m]) for k in range(40) for m in range(k)) < threshold
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in rows], "image_id long, image binary")
+    got = {r["image_id"]: r["group_id"] for r in images.image_copies(df, threshold).collect()}
+    assert all(got[1000 + k] == got[k] == k for k in range(40))
+
+
+def test_matches_of_many_pairs_equal_those_of_each():
+    rng = np.random.default_rng(22)
+    points = images.describe_all([images.write_pgm(p) for p in [texture(rng, 60) for _ in range(6)] + [images.render(rng.normal(size=64)) for _ in range(20)]] + [b""])
+    points += [p[::2] for p in points]
+    left = [points[i] for i in range(len(points)) for _ in points]
+    right = [p for _ in points for p in points]
+    assert images.similarities(left, right).tolist() == [images.consensus(a, b) for a, b in zip(left, right, strict=True)]
 
 
 def test_consensus_of_other_images_is_zero():

@@ -1,12 +1,15 @@
-"""Groups from buckets: members are compared with leaders, never with each other, and similar pairs joined to components."""
+"""Groups from buckets: members meet a few leaders, similar pairs join to components, and crowded buckets that hold several components are compared in blocks across these."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+KEYS = ["band", "key"]
+
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the smallest node of the connected component.
@@ -28,7 +31,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while True:
         path = scratch_path(spark, "stars")
         step(step(now, True), False).write.parquet(path)
-        now = spark.read.schema("a string, b string").parquet(path)
+        now = spark.read.schema(now.schema).parquet(path)
         if before:
             drop_scratch(spark, before)
         before = path
@@ -39,54 +42,84 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def meeting_rows(banded: DataFrame) -> DataFrame:
-    """Of (band, key, node) rows those in buckets of two or more, with ``order``: nodes that meet many others come first."""
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = banded.join(sizes, ["band", "key"])
+    """Of (band, key, node) rows those in buckets of two or more, with the bucket's size ``n`` and ``order``: nodes that meet many others come first."""
+    sizes = banded.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1")
+    members = banded.join(sizes, KEYS)
     weights = members.groupBy("node").agg(F.struct((-F.sum("n")).alias("w"), F.col("node").alias("node")).alias("order"))
-    return members.drop("n").join(weights, "node").select("band", "key", "node", "order")
+    return members.join(weights, "node").select(*KEYS, "node", "order", "n")
+
 
+def leader_pairs(members: DataFrame, leaders: int, votes: int = 1) -> DataFrame:
+    """Distinct pairs (node, leader) of members (see ``meeting_rows``) and their buckets' first ``leaders`` nodes by order, those that meet at least ``votes`` times.
+
+    In buckets of up to ``leaders`` + 1 nodes these are all pairs; in larger ones ``leaders`` rows a member, so their number
+    is in proportion to the members. Leaders are found by a rank that Spark limits before it shuffles, and a hot bucket's rows
+    are split in the join.
+    """
+    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy("order"))).where(F.col("rank") <= leaders)
+    meeting = members.join(ranked.select(*KEYS, F.col("node").alias("leader"), F.col("order").alias("leader_order")), KEYS).where("order > leader_order")
+    return meeting.groupBy("node", "leader").agg(F.count("*").alias("met")).where(F.col("met") >= votes).select("node", "leader")
 
-def compare_with_leaders(spark: SparkSession, members: DataFrame, compare: Callable[[DataFrame], DataFrame], explained: float, label: str, votes: int = 1, leaders: int = 1) -> DataFrame:
-    """Similarities (node, leader, similarity) of members of buckets to the buckets' leaders.
 
-    ``members`` has band, key, node and order (see ``meeting_rows``). ``compare``
-    takes distinct pairs (node, leader) and returns them with their similarity.
+def across_components(spark: SparkSession, members: DataFrame, roots: DataFrame, payload: DataFrame, compare: Callable[[DataFrame], DataFrame], most: int, block: int, label: str) -> DataFrame:
+    """Links between components that meet in buckets of more than ``most`` nodes, in which not all pairs met a leader.
 
-    In each round a bucket's leaders are its first remaining nodes by order, and twice as many in each round. The leaders leave the bucket, and so do members whose similarity to a leader
-    reaches ``explained``, which is what brought them there; the others, whose meeting was
-    chance, go on. Members of a large group of near copies thus meet its centre, not each other. A pair is compared if it meets in
-    at least ``votes`` buckets of a round. No bucket is gathered into one row or task: leaders are found by aggregation or
-    by a rank that Spark limits before it shuffles, and a hot bucket's rows are split in the join.
+    ``members`` has band, key, node and n, ``roots`` node and root (nodes without a row are alone), ``payload`` node and data.
+    ``compare`` takes rows of two blocks of members of one bucket (``band``, ``key``; ``members`` and ``others``: arrays of node, root and
+    data; ``same``: whether it is one block), and returns what it finds between members of different components. Every pair of a
+    bucket whose nodes are in different components meets in exactly one row. The members of its largest component are compared
+    with all others, not with each other, so a bucket that is one component costs nothing, and one that is a large component
+    and a few others costs their product. What is left is quadratic only in the members of one bucket that are *not* linked.
+
+    No bucket is gathered: its members are dealt by hash to blocks of about ``block``, and a hot bucket's blocks are
+    split in the join.
     """
     from ..runtime import discard, persist
 
-    keys = ["band", "key"]
-    def meet(active: DataFrame) -> DataFrame:
-        ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("order"))).where(F.col("rank") <= leaders)
-        return active.join(ranked.select(*keys, F.col("node").alias("leader"), F.col("order").alias("leader_order")), keys).where("order > leader_order").drop("leader_order")
-
-    meeting = meet(members)
-    compared: list[DataFrame] = []
-    before = None
-    while True:
-        pairs = meeting.groupBy("node", "leader").agg(F.count("*").alias("met")).where(F.col("met") >= votes).select("node", "leader")
-        found = persist(spark, compare(pairs), f"{label}-compared")
-        compared.append(found)
-        known = found.where(F.col("similarity") >= explained).select("node", "leader")
-        gone = meeting.join(known, ["node", "leader"], "left_semi").select(*keys, "node")
-        led = meeting.select(*keys, F.col("leader").alias("node"))
-        active = persist(spark, meeting.select(*keys, "node", "order").distinct().join(gone.unionByName(led).distinct(), [*keys, "node"], "left_anti"), f"{label}-active")
-        if before is not None:
-            discard(before)
-        before = active
-        left = active.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-        if left.isEmpty():
-            break
-        leaders *= 2
-        meeting = meet(active.join(left, keys, "left_semi"))
-    everything = compared[0]
-    for more in compared[1:]:
-        everything = everything.unionByName(more)
-    everything = persist(spark, everything.distinct(), f"{label}-similarities")
-    discard(before, *compared)
-    return everything
+    crowded = members.where(F.col("n") > most).select(*KEYS, "node", "n")
+    rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = rooted.groupBy(*KEYS, "root").agg(F.count("*").alias("of_root"))
+    mixed = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("of_root", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    dealt = rooted.join(mixed, KEYS).select(*KEYS, "node", "root", (F.col("root") == F.col("largest")).alias("main"), F.expr(f"pmod(xxhash64(node), cast(ceil(n / {block}) as long))").alias("block"))
+    dealt = persist(spark, dealt, f"{label}-dealt")
+    blocks = dealt.join(payload, "node").groupBy(*KEYS, "main", "block").agg(F.collect_list(F.struct("node", "root", "data")).alias("members"))
+    blocks = persist(spark, blocks, f"{label}-blocks")
+    others = blocks.select(*KEYS, F.col("main").alias("other_main"), F.col("block").alias("other"), F.col("members").alias("others"))
+    meeting = blocks.where("NOT main").join(others, KEYS).where("other_main OR block <= other")
+    found = persist(spark, compare(meeting.select(*KEYS, (~F.col("other_main") & (F.col("block") == F.col("other"))).alias("same"), "members", "others")), f"{label}-across")
+    discard(dealt, blocks)
+    return found
+
+
+def merge_components(spark: SparkSession, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after joining the components of the two nodes of each of ``links`` (a, b); only the components linked are walked again."""
+    first = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    first = first.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    again = components(spark, first).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(again, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    alone = again.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return moved.unionByName(alone)
+
+
+def spanning_links(similar: np.ndarray, roots: list, other_roots: list) -> list[tuple[int, int]]:
+    """As few of the similar pairs (row, column) as join all components that they link."""
+    names = {r: k for k, r in enumerate(dict.fromkeys([*roots, *other_roots]))}
+    own, theirs = (np.array([names[r] for r in x], np.int64) for x in (roots, other_roots))
+    i, j = np.nonzero(similar)
+    differ = own[i] != theirs[j]
+    i, j = i[differ], j[differ]
+    _, first = np.unique(own[i] * len(names) + theirs[j], return_index=True)
+    parent, links = list(range(len(names))), []
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k in first.tolist():
+        x, y = root(int(own[i[k]])), root(int(theirs[j[k]]))
+        if x != y:
+            parent[x] = y
+            links.append((int(i[k]), int(j[k])))
+    return links

@@ -3,14 +3,17 @@
 1. Equal images collapse by digest; one of each is a node.
 2. Corners (Harris) are found on three scales; each gets an orientation (intensity centroid) and 256 binary tests of smoothed
    intensities in a pattern turned by it.
-3. ``TABLES`` slices of 32 bits of every descriptor are the keys of hash tables; images that share keys meet in buckets, whose members are
-   compared with leaders (see ``grouping``), a pair if it shares at least ``MIN_VOTES`` keys. Copies that are resized, turned, noisy or blurred
-   rarely agree on longer slices: of 535 such copies of 48 x 48 tiles that step 4 accepts 510 share two keys of 32 bits, 55 three of 128. The price
-   are chance meetings: of 11,175 pairs of different tiles 68 share a key of 32 bits, 6 share two. (With 16 bits 4,318 share one.)
+3. ``TABLES`` choices of ``KEY_BITS`` of the 256 bits are the keys of hash tables: corners that differ in few bits agree on some choice.
+   Images that share a key meet in a bucket; in a small bucket all pairs are compared, in a larger one its members with a few
+   leaders and then, in blocks, across the groups found (see ``grouping``), so a pair that shares a key is always compared or in one group already.
 4. Descriptors of a pair are matched (mutually nearest, at most ``MAX_DISTANCE`` bits); every match proposes a shift, turn and scale;
    the proposal that most matches agree with decides: at least ``MIN_INLIERS`` of them, and a share of the fewer corners of at least ``THRESHOLD``.
 
-Images are binary PGM (P5) with 8 bits a pixel; the strongest ``PER_SCALE`` corners of each scale are kept, a feature of the descriptor.
+Of 48 x 48 tiles 5e-4 of the pairs of different images share a key, so the number of pairs compared grows with the square of the images
+until buckets outgrow the leaders; more key bits make it rarer, more tables make up for the copies that this loses (``key_bits``, ``tables``).
+
+Images are binary PGM (P5) with 8 bits a pixel. Of each scale the strongest corners are kept, one for every ``SPACING`` pixels of the image's side
+and ``PER_SCALE`` at least: a feature of the descriptor.
 
 Defined cases: null, unreadable or empty images and images without enough corners are like no others, only equal to their
 copies (null images not even that); groups are named by their smallest id; ids may be null or repeat; every row is
@@ -27,24 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grouping import compare_with_leaders, components, meeting_rows
+from .grouping import across_components, components, leader_pairs, meeting_rows, merge_components, spanning_links
 from .words import mix64
 
 SCALES = (1.0, 0.75, 0.5)
-PER_SCALE = 8
+PER_SCALE, SPACING = 8, 3
 RADIUS = 10
 TESTS = 256
-TABLES = 8
+KEY_BITS, TABLES = 48, 16
 TURNS = 32
 MAX_DISTANCE = 60
-MIN_VOTES, MIN_INLIERS, THRESHOLD = 2, 5, 0.2
+MIN_INLIERS, THRESHOLD = 5, 0.2
 TOLERANCE = 3.0
+LEADERS, BLOCK = 4, 128
+#: Distances that a task holds while it matches pairs.
+CELLS = 1_000_000
 
 _rng = np.random.default_rng(5)
 #: Where the tests look, in pixels from the corner: pairs of points, normally distributed inside the patch.
-_PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 2, 2)), -RADIUS + 1, RADIUS - 1)
+_PATTERN = np.clip(_rng.normal(0, RADIUS / 1.55, (TESTS, 2, 2)), -RADIUS + 1, RADIUS - 1)
 _ANGLES = 2 * np.pi * np.arange(TURNS) / TURNS
-_TURNED = np.rint(np.einsum("aij,tkj->atki", np.stack([np.stack([np.cos(_ANGLES), -np.sin(_ANGLES)], 1), np.stack([np.sin(_ANGLES), np.cos(_ANGLES)], 1)], 1), _PATTERN)).astype(np.int64)
+#: The pattern turned by each angle. Angles go from x to y, points are (y, x): (y, x) turns into (y cos + x sin, x cos - y sin).
+_TURNED = np.rint(np.einsum("aij,tkj->atki", np.stack([np.stack([np.cos(_ANGLES), np.sin(_ANGLES)], 1), np.stack([-np.sin(_ANGLES), np.cos(_ANGLES)], 1)], 1), _PATTERN)).astype(np.int64)
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
 
 KEYPOINT = np.dtype([("y", "<f4"), ("x", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", TESTS // 8)])
@@ -117,7 +124,7 @@ def describe(images: np.ndarray) -> list[np.ndarray]:
         order = np.lexsort((x, y, -np.round(response[of, y, x], 6), of))
         of, y, x = of[order], y[order], x[order]
         rank = np.arange(len(of)) - np.searchsorted(of, of)
-        of, y, x = (v[rank < PER_SCALE] for v in (of, y, x))
+        of, y, x = (v[rank < max(PER_SCALE, int(edge.sum() ** 0.5 / SPACING))] for v in (of, y, x))
         disc = a[of[:, None], y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
         angle = np.arctan2((disc * _DISC[:, 0]).sum(1), (disc * _DISC[:, 1]).sum(1))
         turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
@@ -168,50 +175,155 @@ def consensus(a: np.ndarray, b: np.ndarray) -> float:
     return inliers / min(len(a), len(b)) if inliers >= MIN_INLIERS else 0.0
 
 
-def table_keys(points: np.ndarray) -> np.ndarray:
-    """64-bit names of the slices of all descriptors, other ones in each table."""
-    slices = np.ascontiguousarray(points["bits"]).view(np.uint32).reshape(len(points), TABLES).astype(np.uint64)
-    return np.unique(mix64(slices | np.arange(TABLES, dtype=np.uint64) << np.uint64(32)).view(np.int64))
+def mutual_matches(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """For each pair of images, how many corners are each other's nearest within ``MAX_DISTANCE`` bits: at least as many as consensus finds."""
+    out = np.zeros(len(left), np.int64)
+    width = np.maximum([len(p) for p in left], [len(p) for p in right]) if left else np.zeros(0, np.int64)
+    order = np.argsort(width, kind="stable")
+    lo = 0
+    while lo < len(order):
+        step = max(1, CELLS // max(int(width[order[min(lo + 255, len(order) - 1)]]), 1) ** 2)
+        own = order[lo : lo + min(step, 256)]
+        lo += len(own)
+        k = int(width[own[-1]])
+        if not k:
+            continue
+        sides = []
+        for points in (left, right):
+            bits, there = np.zeros((len(own), k, TESTS // 64), np.uint64), np.zeros((len(own), k), bool)
+            for row, at in enumerate(own):
+                n = len(points[at])
+                bits[row, :n] = np.ascontiguousarray(points[at]["bits"]).view(np.uint64).reshape(n, TESTS // 64)
+                there[row, :n] = True
+            sides.append((bits, there))
+        (a, in_a), (b, in_b) = sides
+        distance = np.zeros((len(own), k, k), np.uint16)
+        for word in range(TESTS // 64):
+            distance += np.bitwise_count(a[:, :, None, word] ^ b[:, None, :, word])
+        distance[~(in_a[:, :, None] & in_b[:, None, :])] = TESTS + 1
+        to, back = distance.argmin(2), distance.argmin(1)
+        near = np.take_along_axis(distance, to[:, :, None], 2)[:, :, 0] <= MAX_DISTANCE
+        out[own] = (near & (np.take_along_axis(back, to, 1) == np.arange(k))).sum(1)
+    return out
 
 
-def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        points = describe_all(batch.column("image").to_pylist())
-        keys = [table_keys(p).tolist() if len(p) >= MIN_INLIERS else [] for p in points]
-        yield pa.record_batch([batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array([p.tobytes() for p in points], pa.binary())], names=["node", "keys", "points"])
+def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """``consensus`` of each pair."""
+    out = np.zeros(len(left))
+    for k in np.flatnonzero(mutual_matches(left, right) >= MIN_INLIERS):
+        out[k] = consensus(left[k], right[k])
+    return out
 
 
-def _consensus_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [consensus(np.frombuffer(a, KEYPOINT), np.frombuffer(b, KEYPOINT)) for a, b in zip(batch.column("points").to_pylist(), batch.column("leader_points").to_pylist(), strict=True)]
-        yield pa.record_batch([batch.column("node"), batch.column("leader"), pa.array(values, pa.float64())], names=["node", "leader", "similarity"])
+def table_keys(points: np.ndarray, key_bits: int = KEY_BITS, tables: int = TABLES) -> np.ndarray:
+    """64-bit names of the chosen bits of all descriptors, other ones in each table; sorted."""
+    rng = np.random.default_rng(9)
+    chosen = np.concatenate([rng.permutation(TESTS)[: TESTS // key_bits * key_bits].reshape(-1, key_bits) for _ in range(-(-tables // max(TESTS // key_bits, 1)))])[:tables]
+    bits = np.unpackbits(points["bits"], axis=1).astype(np.uint64)
+    salts = mix64(np.arange(1, tables + 1, dtype=np.uint64))
+    return np.unique(mix64((bits[:, chosen] << np.arange(key_bits, dtype=np.uint64)).sum(2, dtype=np.uint64) ^ salts).view(np.int64))
 
 
-def image_copies(images: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _describe_batches(key_bits: int, tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, part in byte_slices(batch.column("image")):
+                points = describe_all(part.to_pylist())
+                keys = [table_keys(p, key_bits, tables).tolist() if len(p) >= MIN_INLIERS else [] for p in points]
+                yield pa.record_batch([batch.column("node").slice(lo, len(part)), pa.array(keys, pa.list_(pa.int64())), pa.array([p.tobytes() for p in points], pa.binary())], names=["node", "keys", "data"])
+
+    return run
+
+
+def byte_slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a binary column of at most ``most`` bytes, or one value."""
+    lo, size = 0, 0
+    for k, value in enumerate(column):
+        own = len(value.as_buffer()) if value.is_valid else 0
+        if k > lo and size + own > most:
+            yield lo, column.slice(lo, k - lo)
+            lo, size = k, 0
+        size += own
+    if lo < len(column):
+        yield lo, column.slice(lo)
+
+
+def _consensus_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sides = [[np.frombuffer(x, KEYPOINT) for x in batch.column(c).to_pylist()] for c in ("data", "leader_data")]
+        yield pa.record_batch([batch.column("node"), batch.column("leader"), pa.array(similarities(*sides), pa.float64())], names=["node", "leader", "similarity"])
+
+
+def _earlier_meetings(keys: list[np.ndarray], others: list[np.ndarray], here: int) -> np.ndarray:
+    """Whether two members share a key below ``here``, that is, meet in another bucket too."""
+    cut = [k[: np.searchsorted(k, here)] for k in keys]
+    other_cut = [k[: np.searchsorted(k, here)] for k in others]
+    common = np.intersect1d(np.concatenate(cut), np.concatenate(other_cut))
+    met = np.zeros((len(keys), len(others)), np.float32)
+    for lo in range(0, len(common), 8192):
+        sides = []
+        for block in (cut, other_cut):
+            rows = np.zeros((len(block), min(8192, len(common) - lo)), np.float32)
+            for row, own in enumerate(block):
+                rows[row, np.flatnonzero(np.isin(common[lo : lo + 8192], own, assume_unique=True))] = 1
+            sides.append(rows)
+        met += sides[0] @ sides[1].T
+    return met > 0
+
+
+def _links_of_blocks(threshold: float, key_bits: int, tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for here, same, members, others in zip(batch.column("key").to_pylist(), batch.column("same").to_pylist(), batch.column("members"), batch.column("others"), strict=True):
+                names, roots, points, keys = [], [], [], []
+                for block in (members.values, others.values):
+                    names.append(block.field("node").to_pylist())
+                    roots.append(block.field("root").to_pylist())
+                    points.append([np.frombuffer(x, KEYPOINT) for x in block.field("data").to_pylist()])
+                    keys.append([table_keys(p, key_bits, tables) for p in points[-1]])
+                wanted = np.array(roots[0])[:, None] != np.array(roots[1])[None]
+                if same:
+                    wanted = np.triu(wanted, 1)
+                i, j = np.nonzero(wanted & ~_earlier_meetings(*keys, here))
+                similar = np.zeros(wanted.shape, bool)
+                for lo in range(0, len(i), 10_000):
+                    at = i[lo : lo + 10_000], j[lo : lo + 10_000]
+                    similar[at] = similarities([points[0][k] for k in at[0]], [points[1][k] for k in at[1]]) >= threshold
+                links = spanning_links(similar, *roots)
+                yield pa.record_batch([pa.array([names[0][x] for x, _ in links], pa.int64()), pa.array([names[1][y] for _, y in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def image_copies(images: DataFrame, threshold: float = THRESHOLD, key_bits: int = KEY_BITS, tables: int = TABLES) -> DataFrame:
     """One row per row of ``images`` (image_id, image): image_id, image_class (smallest id of an equal image) and group_id (smallest id of the group of copies)."""
     from ..runtime import discard, persist, ship
 
     spark = images.sparkSession
     ship(spark)
-    own = images.select("image_id", "image", F.coalesce(F.md5("image"), F.concat(F.lit("none:"), F.coalesce(F.col("image_id").cast("string"), F.lit("")))).alias("node"))
-    rows = persist(spark, own.select("image_id", "node"), "image-rows")
-    nodes = own.groupBy("node").agg(F.min("image").alias("image"))
-    described = persist(spark, nodes.mapInArrow(_describe_batches, "node string, keys array<long>, points binary"), "image-points")
-    banded = described.select("node", F.lit(0).alias("band"), F.explode("keys").alias("key"))
-    members = persist(spark, meeting_rows(banded.select("band", "key", "node")), "image-members")
-    points = described.select("node", "points")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(points, "node").join(points.select(F.col("node").alias("leader"), F.col("points").alias("leader_points")), "leader")
-        return joined.select("node", "leader", "points", "leader_points").mapInArrow(_consensus_batches, "node string, leader string, similarity double")
-
-    compared = compare_with_leaders(spark, members, compare, threshold, "image", MIN_VOTES)
-    similar = compared.where(F.col("similarity") >= threshold)
-    roots = persist(spark, components(spark, similar.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "image-roots")
-    discard(described, members, compared)
-    classes = rows.groupBy("node").agg(F.min("image_id").alias("image_class")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = classes.join(classes.groupBy("root").agg(F.min("image_class").alias("group_id")), "root").select("node", "image_class", "group_id")
-    return rows.join(named, "node").select("image_id", "image_class", "group_id")
+    own = images.select("image_id", "image", F.coalesce(F.md5("image"), F.concat(F.lit("none:"), F.coalesce(F.col("image_id").cast("string"), F.lit("")))).alias("digest"))
+    # One row per image, with a number that is short to shuffle; it is written, so it stays what it is.
+    classes = own.groupBy("digest").agg(F.min("image").alias("image"), F.min("image_id").alias("image_class")).withColumn("node", F.monotonically_increasing_id())
+    classes = persist(spark, classes, "image-classes")
+    described = persist(spark, classes.select("node", "image").mapInArrow(_describe_batches(key_bits, tables), "node long, keys array<long>, data binary"), "image-points")
+    banded = described.select(F.lit(0).alias("band"), F.explode("keys").alias("key"), "node")
+    members = persist(spark, meeting_rows(banded), "image-members")
+    points = described.select("node", "data")
+
+    pairs = leader_pairs(members, LEADERS)
+    joined = pairs.join(points, "node").join(points.select(F.col("node").alias("leader"), F.col("data").alias("leader_data")), "leader")
+    compared = joined.select("node", "leader", "data", "leader_data").mapInArrow(_consensus_batches, "node long, leader long, similarity double").where(F.col("similarity") >= threshold)
+    similar = persist(spark, compared.select(F.col("node").alias("a"), F.col("leader").alias("b")), "image-pairs")
+    roots = persist(spark, components(spark, similar), "image-roots")
+    across = lambda meeting: meeting.mapInArrow(_links_of_blocks(threshold, key_bits, tables), "a long, b long")
+    links = across_components(spark, members, roots, points, across, LEADERS + 1, BLOCK, "image")
+    if not links.isEmpty():
+        before, roots = roots, persist(spark, merge_components(spark, roots, links), "image-roots")
+        discard(before)
+    discard(described, members, similar, links)
+    named = classes.select("digest", "node", "image_class").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(named.groupBy("root").agg(F.min("image_class").alias("group_id")), "root").select("digest", "image_class", "group_id")
+    return own.select("image_id", "digest").join(named, "digest").select("image_id", "image_class", "group_id")
 
 
 def render(vector: np.ndarray, tile: int = 6) -> np.ndarray:

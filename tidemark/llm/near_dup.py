@@ -8,16 +8,17 @@
    groups of N / HEAVY documents or more (at most KEYS * HEAVY groups, which are broadcast) add 1 / (the group's size) to df and N.
 2. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each text; two texts agree on a sample with a
    chance equal to their weighted Jaccard similarity. Equal texts are one node from here on, known by a digest.
-3. Texts that agree on all samples of a band meet in a bucket. No bucket is gathered and no pairs are made within it: its
-   members are compared with its LEADERS leaders, the texts that meet most others. Those at least ``EXPLAINED`` similar to one
-   leave the bucket, as that is why they are there; the others, there by chance, go on with twice as many leaders, and so on.
+3. Texts that agree on all samples of a band meet in a bucket. A bucket's members are compared with its LEADERS leaders, the texts that
+   meet most others: all pairs of a small bucket, a number of rows in proportion to the members of a large one.
 4. Similar pairs are joined to groups by alternating large and small stars, all in Spark.
-5. In buckets of more than ``LEADERS + 1`` texts members that left with a leader were not compared with each other. Where such a bucket holds
-   more than one group, its members are dealt to blocks of about ``BLOCK``, every two blocks meet as one row, and all pairs of different
-   groups that agree on at least ``AGREE`` of the samples are verified too, within that row (a pair of similarity 0.8 does not with chance 0.0003). Then groups are formed anew.
+5. In buckets of more than ``LEADERS + 1`` texts not all pairs have met. Where such a bucket holds more than one group, blocks of about ``BLOCK``
+   members are compared across groups, exactly, by one product of sparse rows a pair of blocks; groups that turn out linked are joined.
+   A crowd of near copies is one group by then and costs nothing more; the work is the product of its size with the number of the
+   bucket's other texts.
 
-A pair of similarity s shares a bucket with chance 1 - (1 - s ** ROWS) ** BANDS: 0.999 at 0.8. Two texts of a crowd that are similar to
-each other, but not to the crowd's leaders, are found by step 5, whose work grows with the square of a bucket of many groups.
+A pair of similarity s shares a bucket with chance 1 - (1 - s ** ROWS) ** BANDS: 0.999 at 0.8. No pair that shares a bucket is left out, but
+those whose texts are in one group already. Step 5 is quadratic in the texts of one bucket that are not linked: instances of a template of
+similarity s to each other meet there with chance s ** ROWS a band, and a block pair of 256 by 256 costs some milliseconds.
 
 Defined cases: a null text is empty; texts without words are near no other text, only equal to their copies; texts with fewer
 than five words have one shingle of all; ids may be null or repeat, groups are formed by text and named by their smallest id
@@ -33,18 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grouping import compare_with_leaders, components, meeting_rows
+from .grouping import across_components, components, leader_pairs, meeting_rows, merge_components, spanning_links
 from .words import blocks, mix64, shingle_hashes, word_hashes
 
-THRESHOLD, EXPLAINED = 0.8, 0.5
+THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 LEADERS = 6
-BLOCK, AGREE = 64, 34
+BLOCK = 256
 DF_BITS = 18
 KEYS, HEAVY = 4, 5000
 _QUANTILES = 1 << 16
-#: Shingles of the sets a task keeps while it compares blocks.
-KEPT_SHINGLES = 4_000_000
+#: Cells of the matrices that a task holds while it compares two blocks.
+CELLS = 4_000_000
 
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,16 +167,14 @@ def _band_keys(shared):
         salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
         mixers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
         for batch in batches:
-            keys, samples = [], []
+            keys = []
             for hashes, own in weighted_sets(batch.column("text"), weights):
                 if len(hashes):
                     names = sampler.draw(hashes, own).reshape(BANDS, ROWS)
-                    samples.append((names >> np.uint64(48)).astype(np.uint16).tobytes())
                     keys.append(mix64((names * mixers[:ROWS]).sum(1, dtype=np.uint64) ^ salt).view(np.int64).tolist())
                 else:
                     keys.append([])
-                    samples.append(b"")
-            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.binary())], names=["doc_id", "node", "keys", "samples"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
     return run
 
@@ -191,82 +190,102 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / total if total else 0.0
 
 
-def _similarities(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, last, kept = shared.value, None, None
-        for batch in batches:
-            leaders = batch.column("leader").to_pylist()
-            new = [k for k, x in enumerate(leaders) if x != (leaders[k - 1] if k else last)]
-            sets = weighted_sets(batch.column("leader_text").take(pa.array(new, pa.int64())), weights)
-            out = np.zeros(len(leaders))
-            fresh = set(new)
-            for k, own in enumerate(weighted_sets(batch.column("text"), weights)):
-                if k in fresh:
-                    kept = next(sets)
-                out[k] = jaccard(own, kept)
-            last = leaders[-1] if leaders else last
-            yield pa.record_batch([batch.column("node"), batch.column("leader"), pa.array(out)], names=["node", "leader", "similarity"])
-
-    return run
+def unit_items(texts: pa.Array, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its shingles one by one, sorted: the n-th copy of a shingle is an item of its own with the shingle's weight.
 
+    The weighted Jaccard similarity of two texts is the weight of the items they share over that of all their items.
+    """
+    for _, part in blocks(texts):
+        hashes, bounds = _shingles(part)
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            own = np.sort(hashes[lo:hi])
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            copy = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+            items = np.where(copy > 0, mix64(own ^ copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), own)
+            order = np.argsort(items)
+            yield items[order], weights[_cells(own)][order]
 
-def verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """Similarities of the pairs (node, leader); ``texts`` has node and text. Pairs come sorted by leader, whose set is built once."""
-    joined = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    return joined.select("node", "leader", "text", "leader_text").mapInArrow(_similarities(shared), "node string, leader string, similarity double")
 
+ITEM = np.dtype([("item", "<u8"), ("weight", "<f4")])
 
-def _across_groups(shared, threshold: float):
-    """Similar pairs of two blocks' members that are of different groups, agree on at least AGREE samples, and share no earlier band."""
 
+def _pack_items(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, sets, size = shared.value, {}, 0
-
-        def set_of(node, text):
-            nonlocal size
-            if node not in sets:
-                if size > KEPT_SHINGLES:
-                    sets.clear()
-                    size = 0
-                sets[node] = next(weighted_sets(pa.array([text.as_py()]), weights))
-                size += len(sets[node][0])
-            return sets[node]
-
         for batch in batches:
-            for row in range(len(batch)):
-                band, same = batch.column("band")[row].as_py(), batch.column("same")[row].as_py()
-                left, right = batch.column("members")[row].values, batch.column("others")[row].values
-                (names, roots, a), (others, other_roots, b) = ((m.field("node").to_pylist(), m.field("root").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(m.field("samples").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)) for m in (left, right))
-                found = []
-                for lo in range(0, len(a), BLOCK):
-                    equal = a[lo : lo + BLOCK, None] == b[None]
-                    meets = equal.reshape(*equal.shape[:2], BANDS, ROWS).all(3)
-                    wanted = (equal.sum(2) >= AGREE) & ~meets[..., :band].any(2) & (roots[lo : lo + BLOCK, None] != other_roots[None])
-                    for i, j in zip(*np.nonzero(wanted), strict=True):
-                        if same and i + lo >= j:
-                            continue
-                        s = jaccard(set_of(names[i + lo], left.field("text")[int(i) + lo]), set_of(others[j], right.field("text")[int(j)]))
-                        if s >= threshold:
-                            found.append((names[i + lo], others[j], s))
-                yield pa.record_batch([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64())], names=["node", "leader", "similarity"])
+            row = 0
+            for _, part in blocks(batch.column("text")):
+                packed = []
+                for items, weights in unit_items(part, shared.value):
+                    rows = np.empty(len(items), ITEM)
+                    rows["item"], rows["weight"] = items, weights
+                    packed.append(rows.tobytes())
+                yield pa.record_batch([batch.column("node").slice(row, len(part)), pa.array(packed, pa.binary())], names=["node", "data"])
+                row += len(part)
 
     return run
 
 
-def across_groups(members: DataFrame, roots: DataFrame, samples: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
-    """Similar pairs (node, leader, similarity) of different groups that meet in a bucket of more than LEADERS + 1.
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(data, ITEM)
+    return np.ascontiguousarray(rows["item"]), rows["weight"].astype(np.float64)
 
-    ``members`` has band, key and node, ``roots`` node and root, ``samples`` node and samples, ``texts`` node and text. No bucket is gathered: its members are dealt to blocks by hash.
-    """
-    keys = ["band", "key"]
-    crowded = members.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > LEADERS + 1)
-    rooted = members.select(*keys, "node").join(crowded, keys).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy(*keys).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select(*keys)
-    dealt = rooted.join(mixed, keys).withColumn("block", F.expr(f"pmod(xxhash64(node), cast(ceil(n / {BLOCK}) as long))"))
-    blocks_ = dealt.join(samples, "node").join(texts, "node").groupBy(*keys, "block").agg(F.collect_list(F.struct("node", "root", "samples", "text")).alias("members"))
-    others = blocks_.select(*keys, F.col("block").alias("other"), F.col("members").alias("others"))
-    meeting = blocks_.join(others, keys).where("block <= other").select("band", (F.col("block") == F.col("other")).alias("same"), "members", "others")
-    return meeting.mapInArrow(_across_groups(shared, threshold), "node string, leader string, similarity double")
+
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [jaccard(_unpack(a.as_py()), _unpack(b.as_py())) for a, b in zip(batch.column("data"), batch.column("leader_data"), strict=True)]
+        yield pa.record_batch([batch.column("node"), batch.column("leader"), pa.array(out, pa.float64())], names=["node", "leader", "similarity"])
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similarities of the pairs (node, leader); ``sets`` has node and data."""
+    joined = pairs.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("data").alias("leader_data")), "leader")
+    return joined.select("node", "leader", "data", "leader_data").mapInArrow(_similarities, "node string, leader string, similarity double")
+
+
+def block_similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Weighted Jaccard similarities of all texts of two blocks."""
+
+    def laid_out(block):
+        rows = [np.frombuffer(x, ITEM) for x in block]
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat = np.concatenate([*rows, np.zeros(0, ITEM)])
+        weights = flat["weight"].astype(np.float64)
+        return np.ascontiguousarray(flat["item"]), of, weights, np.bincount(of, weights, len(rows))
+
+    (items, of, weights, whole), (other_items, other_of, _, other_whole) = laid_out(a), laid_out(b)
+    common = np.intersect1d(items, other_items)
+    both = np.zeros((len(a), len(b)))
+    if not len(common):
+        return both
+
+    def placed(values):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        known = np.flatnonzero(common[at] == values)
+        known = known[np.argsort(at[known], kind="stable")]
+        return known, at[known]
+
+    (left, left_at), (right, right_at) = placed(items), placed(other_items)
+    step = max(1, CELLS // (len(a) + len(b)))
+    for lo in range(0, len(common), step):
+        x, y = np.zeros((len(a), step)), np.zeros((len(b), step))
+        mine, theirs = (slice(*np.searchsorted(at, [lo, lo + step])) for at in (left_at, right_at))
+        x[of[left[mine]], left_at[mine] - lo] = weights[left[mine]]
+        y[other_of[right[theirs]], right_at[theirs] - lo] = 1
+        both += x @ y.T
+    return both / np.maximum(whole[:, None] + other_whole[None] - both, 1e-300)
+
+
+def _links_of_blocks(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, others in zip(batch.column("members"), batch.column("others"), strict=True):
+                left, right = members.values, others.values
+                names, other_names = left.field("node").to_pylist(), right.field("node").to_pylist()
+                similar = block_similarities(left.field("data").to_pylist(), right.field("data").to_pylist()) >= threshold
+                links = spanning_links(similar, left.field("root").to_pylist(), right.field("root").to_pylist())
+                yield pa.record_batch([pa.array([names[i] for i, _ in links], pa.string()), pa.array([other_names[j] for _, j in links], pa.string())], names=["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -278,26 +297,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.md5("text"))
     shared = spark.sparkContext.broadcast(shingle_weights(docs.select("text")))
-    signed = persist(spark, docs.select("doc_id", "node", "text").mapInArrow(_band_keys(shared), "doc_id long, node string, keys array<long>, samples binary"), "near-signatures")
+    signed = persist(spark, docs.select("doc_id", "node", "text").mapInArrow(_band_keys(shared), "doc_id long, node string, keys array<long>"), "near-signatures")
 
     # Copies collapse: one row per text. The keys of equal texts are equal.
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
-    banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    members = persist(spark, meeting_rows(banded), "near-members")
-    wanted = members.select("node").distinct()
-    # Texts of the nodes that meet any other, once each.
-    texts = persist(spark, docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-
-    compared = compare_with_leaders(spark, members, lambda pairs: verify(pairs, texts, shared), EXPLAINED, "near", leaders=LEADERS)
-    similar = lambda pairs: pairs.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    roots = persist(spark, components(spark, similar(compared)), "near-roots")
-
-    samples = signed.groupBy("node").agg(F.first("samples").alias("samples"))
-    missed = persist(spark, across_groups(members, roots, samples, texts, shared, threshold), "near-missed")
-    if not missed.isEmpty():
-        before, roots = roots, persist(spark, components(spark, similar(compared).unionByName(similar(missed))), "near-roots")
+    members = persist(spark, meeting_rows(nodes.select("node", F.posexplode("keys").alias("band", "key"))), "near-members")
+    # The items of the texts that meet any other, once each.
+    met = docs.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = persist(spark, met.mapInArrow(_pack_items(shared), "node string, data binary"), "near-sets")
+
+    compared = verify(leader_pairs(members, LEADERS), sets).where(F.col("similarity") >= threshold)
+    similar = persist(spark, compared.select(F.col("node").alias("a"), F.col("leader").alias("b")), "near-pairs")
+    roots = persist(spark, components(spark, similar), "near-roots")
+    across = lambda meeting: meeting.mapInArrow(_links_of_blocks(threshold), "a string, b string")
+    links = across_components(spark, members, roots, sets, across, LEADERS + 1, BLOCK, "near")
+    if not links.isEmpty():
+        before, roots = roots, persist(spark, merge_components(spark, roots, links), "near-roots")
         discard(before)
-    discard(members, texts, compared, missed)
+    discard(members, sets, similar, links)
 
     groups = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = groups.join(groups.groupBy("root").agg(F.min("first_id").alias("group_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept")), "root")

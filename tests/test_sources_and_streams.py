@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import changelog
+from tidemark.operators.replication import HintStore
 from tidemark.sources import wal
 from tidemark.sources.json_documents import read_documents, write_documents
 from tidemark.streaming.changes import detect_stream, drain_hints, fold_stream, index_stream, streaming_feed
-from tidemark.types import BadChecksum, BadMagic, BadVersion, CorruptRecord, TruncatedLog
+from tidemark.types import HINT, BadChecksum, BadMagic, BadVersion, CorruptRecord, TruncatedLog
 
 
 def test_golden_records():
@@ -85,16 +86,65 @@ def test_index_stream(spark, tmp_path):
     pairs = lambda df: df.select(F.lit("f").alias("field"), F.col("f").alias("value_key"), "_id")
     old = spark.createDataFrame([("f", "w", "a")], "field string, value_key string, _id string")
     stream = streaming_feed(spark, str(tmp_path / "docs"), "seq long, ts long, op string, _id string, f string").where("op <> 'x'")
-    index_stream(stream, pairs, lambda ids: old.where(F.col("_id").isin(ids)), lambda changes, n: stored.extend(changes.collect()), str(tmp_path / "o")).awaitTermination()
+    index_stream(stream, pairs, lambda ids: old.join(ids, "_id", "left_semi").select(old.columns), lambda changes, n: stored.extend(changes.collect()), str(tmp_path / "o")).awaitTermination()
     assert ("add", "f", "y", "a") in {tuple(r) for r in stored} and ("remove", "f", "w", "a") in {tuple(r) for r in stored}
 
 
 def test_drain_hints(spark, tmp_path):
-    spark.createDataFrame([("n1", "alive"), ("n2", "dead")], "node_id string, status string").write.parquet(str(tmp_path / "s"))
-    hints = spark.createDataFrame([("n1", 1, "put", "k", "v"), ("n2", 2, "put", "l", "w")], "target_node string, seq long, op string, key string, value string")
+    store = HintStore(spark, str(tmp_path / "h"))
+    assert store.waiting().count() == 0
+    t0 = datetime(2024, 1, 1)
+    store.add(spark.createDataFrame([("n1", "put", "k", "v", t0, 1), ("n2", "put", "l", "w", t0, 2)], HINT))
     got = []
-    drain_hints(streaming_feed(spark, str(tmp_path / "s"), "node_id string, status string"), hints, lambda df: got.extend(df.collect()), str(tmp_path / "o")).awaitTermination()
-    assert {r["key"] for r in got} == {"k"}
+    for rows in ([("n1", "alive"), ("n2", "dead")], [("n1", "alive")]):
+        spark.createDataFrame(rows, "node_id string, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        drain_hints(streaming_feed(spark, str(tmp_path / "s"), "node_id string, status string"), store, lambda df: got.extend(df.collect()), str(tmp_path / "o")).awaitTermination()
+    assert [r["key"] for r in got] == ["k"] and [r["key"] for r in store.waiting().collect()] == ["l"]
+
+    def fails(df):
+        raise OSError
+
+    with pytest.raises(OSError):
+        store.replay(spark.createDataFrame([("n2",)], "node_id string"), fails)
+    assert store.waiting().count() == 1
+
+
+def test_microseconds_of_a_log_are_cut_not_rounded(spark):
+    times = [0, 999, 1_000, 1_700_000_000_123_456_999, 1_699_999_999_999_999_999, -1, -1_000, -1_001]
+    log = spark.createDataFrame([("s", k, "put", t, b"k", b"v") for k, t in enumerate(times)], "segment string, seq long, op string, ts_ns long, key binary, value binary")
+    got = [r[0] for r in wal.as_feed(log).orderBy("seq").select(F.unix_micros("ts")).collect()]
+    assert got == [t // 1000 for t in times]
+
+
+def test_a_crash_while_publishing_keeps_the_published_snapshot(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "snap")
+    state = lambda n: spark.range(n).select(F.col("id").cast("string").alias("key"))
+    changelog.save_snapshot(spark, state(1), folder, "snapshot-1", "1")
+
+    def crash(*_):
+        raise OSError
+
+    with monkeypatch.context() as m:
+        m.setattr(changelog, "_write_text", crash)
+        with pytest.raises(OSError):
+            changelog.save_snapshot(spark, state(2), folder, "snapshot-2", "2")
+    assert changelog.load_snapshot(spark, folder)[1] == "1" and changelog.load_snapshot(spark, folder)[0].count() == 1
+    for n in (2, 3, 4):
+        changelog.save_snapshot(spark, state(n), folder, f"snapshot-{n}", str(n))
+    assert changelog.load_snapshot(spark, folder)[0].count() == 4
+    assert sorted(p.name for p in (tmp_path / "snap").iterdir() if p.is_dir()) == ["snapshot-3", "snapshot-4"]
+
+
+def test_a_lost_pointer_is_an_error_for_later_batches(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    write = lambda k: spark.createDataFrame([(k, "put", t0, f"k{k}", "v")], FEED).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    run = lambda: fold_stream(spark, streaming_feed(spark, str(tmp_path / "feed"), FEED), str(tmp_path / "snap"), str(tmp_path / "offsets")).awaitTermination()
+    write(1)
+    run()
+    (tmp_path / "snap" / "CURRENT").unlink()
+    write(2)
+    with pytest.raises(Exception, match="not the first"):
+        run()
 
 
 def test_failure_detector_stream(spark, tmp_path):

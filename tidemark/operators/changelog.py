@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..types import CorruptRecord
-
 STATE = ["key", "value", "version", "created_at", "updated_at", "deleted", "seq"]
 
 
@@ -28,9 +26,10 @@ def fold(feed: DataFrame, tombstones: bool = False, semantics: str = "live") ->
     order = F.struct("ts", "seq")
     last = F.max_by(F.struct("op", "value", "ts", "seq"), order).alias("last")
     if semantics == "replay":
-        gone = Window.partitionBy("key")
-        lives = feed.withColumn("_gone", F.max(F.when(F.col("op") == "delete", order)).over(gone))
-        feed = lives.where(F.col("_gone").isNull() | (F.struct("ts", "seq") > F.col("_gone"))).drop("_gone")
+        # The last delete of each key, combined before the shuffle; a hot key's rows are then split in the join.
+        gone = feed.where("op = 'delete'").groupBy(F.col("key").alias("_key")).agg(F.max(order).alias("_gone"))
+        lives = feed.join(gone, F.col("key") == F.col("_key"), "left")
+        feed = lives.where(F.col("_gone").isNull() | (F.struct("ts", "seq") > F.col("_gone"))).drop("_key", "_gone")
     elif semantics != "live":
         raise ValueError(f"unknown semantics {semantics!r}")
     state = feed.groupBy("key").agg(last, F.count(F.lit(1)).alias("version"), F.min("ts").alias("created_at"))
@@ -62,10 +61,40 @@ def recover(snapshot: DataFrame, feed: DataFrame, since, tombstones: bool = Fals
     return state if tombstones else state.where(~F.col("deleted"))
 
 
-def save_snapshot(spark: SparkSession, state: DataFrame, folder: str, name: str, at: str) -> None:
-    """Write a snapshot, then publish it by a pointer file; readers see the old one until then."""
+def save_snapshot(spark: SparkSession, state: DataFrame, folder: str, name: str, at: str, keep: int = 2) -> None:
+    """Write a snapshot, then publish it by replacing a pointer file in one rename; readers see the old one until then.
+
+    Of the snapshots published before, in order of name, the last ``keep`` - 1 stay, so that a reader that has just read the pointer finds its files.
+    """
     state.write.mode("overwrite").parquet(f"{folder}/{name}")
     _write_text(spark, f"{folder}/CURRENT", json.dumps({"name": name, "at": at}))
+    store, root = _store(spark, folder)
+    older = sorted(s.getPath().getName() for s in store.listStatus(root) if s.isDirectory() and s.getPath().getName() < name)
+    for old in older[: max(0, len(older) - keep + 1)]:
+        store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, old), True)
+
+
+def _store(spark: SparkSession, folder: str):
+    """The file system of a folder, and its path there."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def log_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files of a log; 0 where there is none."""
+    store, root = _store(spark, folder)
+    return store.getContentSummary(root).getLength() if store.exists(root) else 0
+
+
+def checkpoint(spark: SparkSession, log: str, folder: str, threshold: int, name: str, at: str) -> bool:
+    """Take a snapshot of the log if it has ``threshold`` bytes or more (0 or less: always), on top of the published one. Whether it was taken."""
+    size = log_bytes(spark, log)
+    if size < threshold or not size:
+        return False
+    feed, current = spark.read.parquet(log).drop("segment"), load_snapshot(spark, folder)
+    state = fold(feed, tombstones=True) if current is None else merge(current[0], feed.where(F.col("ts") >= F.lit(current[1]).cast(feed.schema["ts"].dataType)))
+    save_snapshot(spark, state, folder, name, at)
+    return True
 
 
 def load_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, str] | None:
@@ -79,16 +108,17 @@ def load_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, str] | N
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file by rename."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    """Replace a small file: written beside it, then renamed over it, so that at any time one of both is there."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    fs, configuration = jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     temporary, final = fs.Path(f"{path}.new"), fs.Path(path)
-    store = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store = final.getFileSystem(configuration)
     out = store.create(temporary, True)
     out.write(bytearray(text.encode()))
     out.close()
-    store.delete(final, False)
-    if not store.rename(temporary, final):
-        raise CorruptRecord(f"{path} could not be published")
+    overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(store.getUri(), configuration).rename(store.makeQualified(temporary), store.makeQualified(final), overwrite)
 
 
 def append(feed: DataFrame, folder: str) -> None:
@@ -96,15 +126,18 @@ def append(feed: DataFrame, folder: str) -> None:
     feed.withColumn("segment", F.date_format("ts", "yyyyMMddHH")).write.mode("append").partitionBy("segment").parquet(folder)
 
 
-def vacuum(spark: SparkSession, folder: str, before: str) -> int:
-    """Drop segments that a snapshot covers: those named below ``before``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dropped = 0
-    for status in store.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("segment=") and name.removeprefix("segment=") < before:
-            store.delete(status.getPath(), True)
-            dropped += 1
-    return dropped
+def segments(spark: SparkSession, folder: str) -> list[str]:
+    """The names of a log's segments, oldest first."""
+    store, root = _store(spark, folder)
+    names = [s.getPath().getName() for s in store.listStatus(root)] if store.exists(root) else []
+    return sorted(n.removeprefix("segment=") for n in names if n.startswith("segment="))
+
+
+def vacuum(spark: SparkSession, folder: str, before: str | None = None, most: int | None = None) -> int:
+    """Drop old segments: those named below ``before``, which a snapshot covers, and the oldest beyond ``most``."""
+    store, root = _store(spark, folder)
+    names = segments(spark, folder)
+    old = [n for k, n in enumerate(names) if (before is not None and n < before) or (most is not None and k < len(names) - most)]
+    for name in old:
+        store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"segment={name}"), True)
+    return len(old)

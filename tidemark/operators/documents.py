@@ -61,7 +61,9 @@ class DocumentCollection:
     def find(self, field: str, value: object, limit: int = -1, offset: int = 0, sort: str | None = None) -> DataFrame:
         """Documents whose field equals the value, in order; limit -1 is none, 0 is empty."""
         check_options(limit, offset, sort)
-        found = self.df.where(self.matches(field, value))
+        return self._page(self.df.where(self.matches(field, value)), limit, offset, sort)
+
+    def _page(self, found: DataFrame, limit: int, offset: int, sort: str | None) -> DataFrame:
         if limit == 0:
             return found.limit(0)
         found = found.orderBy(*self.order(sort))
@@ -97,10 +99,20 @@ class DocumentCollection:
     def indexed_fields(self) -> DataFrame:
         return self.pairs().select("field").distinct()
 
-    def find_by_index(self, pairs: DataFrame, field: str, value: object) -> DataFrame:
-        """The same as ``find``, through a materialised index; ids without a document are skipped."""
+    def find_by_index(self, pairs: DataFrame, field: str, value: object, limit: int = -1, offset: int = 0, sort: str | None = None) -> DataFrame:
+        """The same as ``find``, through a materialised index; ids without a document are skipped and do not count towards the offset."""
+        check_options(limit, offset, sort)
         hits = pairs.where((F.col("field") == field) & (F.col("value_key") == value_text(value))).select(self.key)
-        return self.df.join(hits, self.key, "left_semi").orderBy(self.key)
+        return self._page(self.df.join(hits, self.key, "left_semi"), limit, offset, sort)
+
+
+def aggregate_body(result: DataFrame) -> DataFrame:
+    """The answer to an aggregate as JSON text: ``{"field":..,"sum":..}``, with ``value`` null in place of a result that does not exist."""
+    name = result.columns[-1]
+    if name == "count":
+        return result.select(F.to_json(F.struct("count")).alias("body"))
+    none = F.concat(F.lit('{"field":'), F.to_json(F.array("field")).substr(F.lit(2), F.length(F.to_json(F.array("field"))) - 2), F.lit(',"value":null}'))
+    return result.select(F.when(F.col(name).isNull(), none).otherwise(F.to_json(F.struct("field", name))).alias("body"))
 
 
 def index_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -154,12 +166,19 @@ def check_document(body: str | bytes | None) -> dict:
     return value
 
 
+def escape_html(text: Column) -> Column:
+    """JSON text with ``<``, ``>``, ``&`` and the two line separators beyond ASCII written as escapes; outside of strings none occurs."""
+    for plain, code in (("<", "003c"), (">", "003e"), ("&", "0026"), ("\u2028", "2028"), ("\u2029", "2029")):
+        text = F.replace(text, F.lit(plain), F.lit(f"\\u{code}"))
+    return text
+
+
 def to_body(df: DataFrame, doc: str = "doc", key: str = "_id") -> DataFrame:
     """(key, body): documents as JSON text with the system's ``_id`` first, whatever ``_id`` they hold themselves."""
     text = F.to_json(F.col(doc))
     own = F.regexp_replace(text, r"^\{", "")
     without = F.when(F.try_variant_get(F.col(doc), '$["_id"]', "variant").isNull(), own).otherwise(F.regexp_replace(F.to_json(F.map_filter(F.try_variant_get(F.col(doc), "$", "map<string,variant>"), lambda k, _: k != "_id")), r"^\{", ""))
-    return df.select(key, F.concat(F.lit('{"_id":'), F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.when(without == "}", F.lit("")).otherwise(F.lit(",")), without).alias("body"))
+    return df.select(key, escape_html(F.concat(F.lit('{"_id":'), F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.when(without == "}", F.lit("")).otherwise(F.lit(",")), without)).alias("body"))
 
 
 def latest(feed: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -103,18 +103,34 @@ class KeyValueView:
         return keys.select((F.monotonically_increasing_id() + first_seq).alias("seq"), F.lit(ts).alias("ts"), F.lit("delete").alias("op"), F.col(self.key).alias("key"), F.lit(None).cast("string").alias("value"))
 
 
+_RECORD = "seq long, op string, ts timestamp, key string, value string"
+
+
 class Store:
-    """A change log folder with an open state: put, get, delete and scan through appended rows."""
+    """A change log folder with an open state: put, get, delete and scan through appended rows.
+
+    Every call of ``write`` or ``write_rows`` is one append; many mutations belong into one ``write_rows``. Sequence numbers
+    go on where the log ends, so that of writes with equal times the later one wins after a reopen too.
+    """
 
     def __init__(self, spark, folder: str, engine: str = "parquet"):
-        if engine != "parquet":
+        if engine not in ("parquet", "orc", "json"):
             raise UnknownEngine(engine)
-        self.spark, self.folder, self.is_open, self._seq = spark, folder, False, 0
+        self.spark, self.folder, self.engine, self.is_open, self._seq = spark, folder, engine, False, 0
+        self.opened_at: datetime | None = None
+        self.replay_seconds = 0.0
+
+    def _exists(self) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def open(self) -> Store:
         if self.is_open:
             raise AlreadyOpen(self.folder)
-        self.is_open = True
+        began = datetime.now(UTC)
+        self._seq = (self._rows().agg(F.max("seq")).first()[0] or 0) if self._exists() else 0
+        self.is_open, self.opened_at = True, began
+        self.replay_seconds = (datetime.now(UTC) - began).total_seconds()
         return self
 
     def close(self) -> None:
@@ -122,24 +138,44 @@ class Store:
 
     def health(self) -> dict:
         """Never fails, open or not."""
-        return {"healthy": self.is_open, "message": "open" if self.is_open else "closed"}
+        return {"healthy": self.is_open, "message": "open" if self.is_open else "closed", "time": datetime.now(UTC).isoformat()}
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(_RECORD).format(self.engine).load(self.folder)
 
     def _feed(self) -> DataFrame:
         if not self.is_open:
             raise NotOpen(self.folder)
-        return self.spark.read.schema("seq long, op string, ts timestamp, key string, value string").parquet(self.folder)
+        return self._rows() if self._exists() else self.spark.createDataFrame([], _RECORD)
 
     def view(self) -> KeyValueView:
         from .changelog import fold
 
         return KeyValueView(fold(self._feed(), tombstones=True))
 
+    def statistics(self, snapshots: str | None = None) -> dict:
+        """keys, live_keys, bytes, engine, version (of the last mutation), created, log_bytes, segments (files), replay_seconds and last_checkpoint."""
+        from .changelog import load_snapshot, log_bytes
+
+        rows = self._feed()
+        last = rows.agg(F.max("seq").alias("version"), F.min("ts").alias("created")).first()
+        published = None if snapshots is None else load_snapshot(self.spark, snapshots)
+        found = self.view().stats().first().asDict() | {"engine": self.engine, "version": last["version"] or 0, "created": last["created"], "replay_seconds": self.replay_seconds}
+        return found | {"log_bytes": log_bytes(self.spark, self.folder), "segments": len(rows.inputFiles()), "last_checkpoint": None if published is None else published[1]}
+
     def write(self, op: str, key: str, value: str | None, ts: datetime) -> None:
         if not self.is_open:
             raise NotOpen(self.folder)
         _check(key)
         if op == "put" and value is None:
             raise NilValue(key)
-        self._seq += 1
-        row = self.spark.createDataFrame([(self._seq, op, ts, key, value)], "seq long, op string, ts timestamp, key string, value string")
-        row.write.mode("append").parquet(self.folder)
+        self.write_rows(self.spark.createDataFrame([(op, ts, key, value)], "op string, ts timestamp, key string, value string"))
+
+    def write_rows(self, rows: DataFrame) -> None:
+        """Append mutations (op, ts, key, value); of rows with equal times any may count as the later one. Fails on empty keys and on puts of null."""
+        if not self.is_open:
+            raise NotOpen(self.folder)
+        bad = F.when(F.coalesce(F.length("key"), F.lit(0)) == 0, F.raise_error(F.lit("invalid key"))).when((F.col("op") == "put") & F.col("value").isNull(), F.raise_error(F.lit("nil value")))
+        checked = rows.select((F.monotonically_increasing_id() + self._seq + 1).alias("seq"), "op", F.col("ts").cast("timestamp").alias("ts"), "key", "value").where(bad.cast("boolean").isNull())
+        checked.write.mode("append").format(self.engine).save(self.folder)
+        self._seq = self._rows().agg(F.max("seq")).first()[0] or self._seq

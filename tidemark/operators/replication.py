@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quorum_size
+from ..types import HINT
 from .placement import Ring
 
 
@@ -37,6 +40,38 @@ def replay_hints(parked: DataFrame, recovered: DataFrame, feed: DataFrame) -> tu
     return feed.unionByName(ready.select(feed.columns)), parked.join(back, "target_node", "left_anti")
 
 
+class HintStore:
+    """Parked writes in a folder: added as rows, taken off by the ids of those delivered. ``seq`` and ``target_node`` identify a hint."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str = HINT):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def add(self, parked: DataFrame) -> None:
+        parked.write.mode("append").parquet(f"{self.folder}/parked")
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}") if there else self.spark.createDataFrame([], schema)
+
+    def waiting(self) -> DataFrame:
+        """Hints that were not delivered."""
+        return self._read("parked", self.schema).join(self._read("delivered", "target_node string, seq long"), ["target_node", "seq"], "left_anti")
+
+    def replay(self, recovered: DataFrame, deliver: Callable[[DataFrame], None]) -> int:
+        """Hand the hints of recovered nodes (node_id) to ``deliver``; what it takes without failing is off the store. How many those were."""
+        from ..runtime import discard, persist
+
+        ready = self.waiting().join(recovered.select(F.col("node_id").alias("target_node")), "target_node", "left_semi")
+        ready = persist(self.spark, ready.orderBy("ts", "seq"), "hints")
+        n = ready.count()
+        if n:
+            deliver(ready)
+            ready.select("target_node", "seq").write.mode("append").parquet(f"{self.folder}/delivered")
+        discard(ready)
+        return n
+
+
 def majority(answers: DataFrame, key: str = "key", value: str = "value", place: str = "pos") -> DataFrame:
     """The most frequent value of each key; among equals the one that was seen first. Counts are combined before the shuffle."""
     counts = answers.groupBy(key, value).agg(F.count(F.lit(1)).alias("votes"), F.min(place).alias("first_seen"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fnv1a32
-from ..functions.values import number_key, number_text
+from ..functions.values import number_key
 from ..operators import changelog, membership, replication
 from ..operators.documents import DocumentCollection, latest, parse_documents
 from ..operators.kv import KeyValueView
@@ -31,10 +31,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import services  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import services  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -112,10 +116,14 @@ def find_sorted_descending(spark, sf_dir):
     return _ranked(event_documents(spark, sf_dir).find("event_type", "purchase", limit=50, sort="-user_id"))
 
 
-@query("q05_sort_missing_last", "WITH e AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS _id, event_type, user_id, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events WHERE event_type = 'signup'), r AS (SELECT *, CAST(row_number() OVER (ORDER BY value DESC NULLS LAST, _id) AS BIGINT) AS rank, count(*) OVER () AS n FROM e) SELECT _id, event_type, user_id, value, rank FROM r WHERE rank <= 100000")
+@query("q05_sort_missing_last", """WITH e AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS _id, event_type, user_id, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events WHERE event_type = 'signup'),
+r AS (SELECT *, row_number() OVER (ORDER BY value DESC NULLS LAST, _id) - greatest((SELECT count(value) FROM e) - 10, 0) AS rank FROM e) SELECT _id, event_type, user_id, value, rank FROM r WHERE rank BETWEEN 1 AND 25""")
 def sort_missing_last(spark, sf_dir):
+    """The page on which the values end and the documents without one begin."""
     rows = events(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
-    return _ranked(DocumentCollection(rows.select("_id", *FIELDS), FIELDS).find("event_type", "signup", sort="-value", limit=100_000))
+    documents = DocumentCollection(rows.select("_id", *FIELDS), FIELDS)
+    present = documents.df.where(documents.matches("event_type", "signup")).agg(F.count("value")).first()[0]
+    return _ranked(documents.find("event_type", "signup", sort="-value", offset=max(present - 10, 0), limit=25))
 
 
 @query("q06_sort_unknown_field", f"WITH {_E} SELECT _id, event_type, user_id, value, CAST(row_number() OVER (ORDER BY _id) AS BIGINT) AS rank FROM e WHERE event_type = 'view' QUALIFY rank <= 20")
@@ -197,7 +205,7 @@ def indexed_fields(spark, sf_dir):
     return variant_documents(spark, sf_dir).indexed_fields()
 
 
-@query("q39_number_text", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{number_text(x)}')" for k, x in enumerate([0.0, 22.0, -3.25, 100000.0, 1e6, 123456789.0, 0.5, 0.0001, 0.00001, 12345.678, 1e21])) + ") AS t(n, text)")
+@query("q39_number_text", """SELECT * FROM (VALUES (0, '0'), (1, '22'), (2, '-3.25'), (3, '100000'), (4, '1e+06'), (5, '1.23456789e+08'), (6, '0.5'), (7, '0.0001'), (8, '1e-05'), (9, '12345.678'), (10, '1e+21')) AS t(n, text)""")
 def number_texts(spark, sf_dir):
     values = ", ".join(f"({k}, {x!r}D)" for k, x in enumerate([0.0, 22.0, -3.25, 100000.0, 1e6, 123456789.0, 0.5, 0.0001, 0.00001, 12345.678, 1e21]))
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(n, x)").select("n", number_key(F.col("x")).alias("text"))
@@ -302,24 +310,36 @@ NODES = ["node-1", "node-2", "node-3"]
 RING = Ring.build(NODES)
 
 
-def _ring_sql(name: str, ring: Ring) -> str:
-    return f"{name}(h, n) AS (VALUES {', '.join(f'({h}::BIGINT, {chr(39)}{n}{chr(39)})' for h, n in ring.entries)})"
+def _crc_sql(data: str) -> str:
+    """CRC-32 of a list of bytes."""
+    step = "list_reduce(list_prepend(xor(a, x), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda k, j: CASE WHEN (k & 1) = 1 THEN xor(k >> 1, 3988292384::BIGINT) ELSE k >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda a, x: {step}), 4294967295::BIGINT)"
+
+
+_ASCII = "list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, CAST(i AS BIGINT), 1))::BIGINT)"
+#: Keys and their hashes.
+_KEYS = f"k AS (SELECT key, {_crc_sql(_ASCII.format('key'))} AS h FROM (SELECT CAST(doc_id AS VARCHAR) AS key FROM documents))"
+#: The ring of three nodes: 100 places each, at the hash of the node's name, #, and the code point 48 + place, which from 128 on is two bytes.
+_PLACES = f"""all_places AS (SELECT n, {_crc_sql("list_concat(" + _ASCII.format("n || '#'") + ", CASE WHEN 48 + i < 128 THEN [48 + i] ELSE [192 + ((48 + i) >> 6), 128 + ((48 + i) & 63)] END::BIGINT[])")} AS h
+  FROM (SELECT unnest(['node-1', 'node-2', 'node-3']) AS n) CROSS JOIN range(100) AS t(i)),
+ring AS (SELECT h, min(n) AS n FROM all_places GROUP BY h), less AS (SELECT h, min(n) AS n FROM all_places WHERE n <> 'node-2' GROUP BY h),
+pairs AS (SELECT r.h, r.n, arg_min(s.n, (s.h - r.h + 4294967296) % 4294967296) AS second FROM ring r JOIN ring s ON s.n <> r.n GROUP BY ALL)"""
+_CRC = f"{_KEYS}, {_PLACES}"
 
 
-_CRC = """k AS (SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, CAST(i AS BIGINT), 1))::BIGINT)), lambda a, x:
-  list_reduce(list_prepend(xor(a, x), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda k, j: CASE WHEN (k & 1) = 1 THEN xor(k >> 1, 3988292384::BIGINT) ELSE k >> 1 END)), 4294967295::BIGINT) AS h
-  FROM (SELECT CAST(doc_id AS VARCHAR) AS key FROM documents))"""
+def _owned_sql(name: str, ring: str) -> str:
+    """The first place from a key's hash on, the first of all after the last."""
+    return f"{name} AS (SELECT k.key, coalesce(r.n, (SELECT arg_min(n, h) FROM {ring})) AS owner FROM k ASOF LEFT JOIN {ring} r ON r.h >= k.h)"
 
 
-def _owned_sql(name: str, ring: str, first: str) -> str:
-    return f"{name} AS (SELECT k.key, coalesce(r.n, '{first}') AS owner FROM k ASOF LEFT JOIN {ring} r ON r.h >= k.h)"
+_OWNED = _owned_sql("o", "ring")
 
 
 def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"))
 
 
-@query("q24_owners", f"WITH {_CRC}, {_ring_sql('ring', RING)}, {_owned_sql('o', 'ring', RING.entries[0][1])} SELECT owner, count(*) AS n FROM o GROUP BY owner")
+@query("q24_owners", f"WITH {_CRC}, {_OWNED} SELECT owner, count(*) AS n FROM o GROUP BY owner")
 def owners(spark, sf_dir):
     return document_keys(spark, sf_dir).groupBy(RING.owner(F.col("key")).alias("owner")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -327,13 +347,14 @@ def owners(spark, sf_dir):
 _LESS = RING.without("node-2")
 
 
-@query("q25_moved_keys", f"WITH {_CRC}, {_ring_sql('ring', RING)}, {_ring_sql('less', _LESS)}, {_owned_sql('o', 'ring', RING.entries[0][1])}, {_owned_sql('p', 'less', _LESS.entries[0][1])} SELECT o.owner AS owner_before, p.owner AS owner_after, count(*) AS n FROM o JOIN p USING (key) WHERE o.owner <> p.owner GROUP BY ALL")
+@query("q25_moved_keys", f"WITH {_CRC}, {_OWNED}, {_owned_sql('p', 'less')} SELECT o.owner AS owner_before, p.owner AS owner_after, count(*) AS n FROM o JOIN p USING (key) WHERE o.owner <> p.owner GROUP BY ALL")
 def moved(spark, sf_dir):
     return moved_keys(document_keys(spark, sf_dir), "key", RING, _LESS).groupBy("owner_before", "owner_after").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PAIRS = f"pairs(h, n) AS (VALUES {', '.join(f'({h}::BIGINT, {chr(39)}{chr(44).join(RING.owners_at(k, 2))}{chr(39)})' for k, (h, _) in enumerate(RING.entries))})"
-_FANNED = f"WITH {_CRC}, {_PAIRS}, o AS (SELECT k.key, coalesce(r.n, '{','.join(RING.owners_at(0, 2))}') AS pair FROM k ASOF LEFT JOIN pairs r ON r.h >= k.h), f AS (SELECT key, split_part(pair, ',', 1) AS owner, 'primary' AS role FROM o UNION ALL SELECT key, split_part(pair, ',', 2), 'replica' FROM o)"
+_FANNED = f"""WITH {_CRC}, w AS (SELECT arg_min((n, second), h) AS first FROM pairs),
+o AS (SELECT k.key, coalesce(r.n, w.first[1]) AS one, coalesce(r.second, w.first[2]) AS two FROM k ASOF LEFT JOIN pairs r ON r.h >= k.h CROSS JOIN w),
+f AS (SELECT key, one AS owner, 'primary' AS role FROM o UNION ALL SELECT key, two, 'replica' FROM o)"""
 
 
 @query("q26_fan_out", f"{_FANNED} SELECT owner, role, count(*) AS n FROM f GROUP BY ALL")

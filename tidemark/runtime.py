@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where that setting is absent."""
+    """The folder in ``spark.checkpoint.dir``. Where that setting is absent, a temporary one is set if all tasks run in this process; a cluster must name one."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -68,4 +73,5 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(here.rglob("*.py")):
             out.write(path, os.path.join(here.name, path.relative_to(here)))
     sc.addPyFile(str(to))
+    atexit.register(shutil.rmtree, to.parent, ignore_errors=True)
     _SHIPPED.add(sc.applicationId)

@@ -88,7 +88,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def as_feed(log: DataFrame) -> DataFrame:
     """Records as (seq, op, ts, key, value) with text keys and values; seq orders records of equal times by segment and place."""
     place = F.struct("segment", "seq")
-    return log.select(place.alias("seq"), "op", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)).alias("ts"), F.decode("key", "utf-8").alias("key"), F.decode("value", "utf-8").alias("value"), "ts_ns")
+    return log.select(place.alias("seq"), "op", F.timestamp_micros(F.expr("(ts_ns - pmod(ts_ns, 1000)) div 1000")).alias("ts"), F.decode("key", "utf-8").alias("key"), F.decode("value", "utf-8").alias("value"), "ts_ns")
 
 
 def _encode_partition(folder: str, limit: int):

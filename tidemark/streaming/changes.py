@@ -11,20 +11,24 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators import changelog
 from ..operators.documents import index_changes, latest
-from ..operators.replication import replay_hints
+from ..operators.replication import HintStore
+from ..types import CorruptRecord
 
 
 def fold_stream(spark: SparkSession, feed: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Fold a streaming feed into snapshots with tombstones under ``folder``, one per micro-batch.
 
     A batch is merged into the snapshot that its predecessor published, so a batch that is run again after a failure
-    starts from the same state. ``every`` is a trigger interval; without it all that is there is processed once.
+    starts from the same state; a later batch without a published snapshot is an error, not an empty state. Each batch writes the whole
+    state, so ``every``, a trigger interval, sets how often that is; without it all that is there is processed once.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         current = changelog.load_snapshot(spark, folder)
         if current is not None and int(current[1]) >= batch_id:
             return
+        if current is None and batch_id > 0:
+            raise CorruptRecord(f"no snapshot is published under {folder}, but batch {batch_id} is not the first")
         state = changelog.fold(batch, tombstones=True) if current is None else changelog.merge(current[0], batch)
         changelog.save_snapshot(spark, state, folder, f"snapshot-{batch_id:012d}", str(batch_id))
 
@@ -32,26 +36,26 @@ def fold_stream(spark: SparkSession, feed: DataFrame, folder: str, checkpoint: s
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def index_stream(documents: DataFrame, pairs_of: Callable[[DataFrame], DataFrame], load: Callable[[list[str]], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def index_stream(documents: DataFrame, pairs_of: Callable[[DataFrame], DataFrame], load: Callable[[DataFrame], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Keep an index as documents change: for each micro-batch the entries to remove and to add.
 
-    ``pairs_of`` gives a table's index entries, ``load`` the present entries of some ids, ``apply`` stores the changes.
+    ``pairs_of`` gives a table's index entries, ``load`` the present entries of the documents of a table of ``_id``, ``apply`` stores the changes.
     """
 
     def maintain(batch: DataFrame, batch_id: int) -> None:
-        ids = [r["_id"] for r in batch.select("_id").distinct().toLocalIterator()]
-        apply(index_changes(load(ids), pairs_of(latest(batch))), batch_id)
+        apply(index_changes(load(batch.select("_id").distinct()), pairs_of(latest(batch))), batch_id)
 
     return documents.writeStream.foreachBatch(maintain).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain_hints(status_changes: DataFrame, hints: DataFrame, deliver: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """When nodes turn alive, deliver what waits for them."""
+def drain_hints(status_changes: DataFrame, hints: HintStore, deliver: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """When nodes turn alive, deliver what waits for them, oldest first, and take it off the store.
+
+    A hint leaves the store after its delivery, so a failure between the two delivers it again; folding by (ts, seq) makes that harmless.
+    """
 
     def drain(batch: DataFrame, _: int) -> None:
-        recovered = batch.where("status = 'alive'").select("node_id").distinct()
-        none = hints.drop("target_node").limit(0)
-        deliver(replay_hints(hints, recovered, none)[0])
+        hints.replay(batch.where("status = 'alive'").select("node_id").distinct(), deliver)
 
     return status_changes.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

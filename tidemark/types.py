@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-KV_RECORD = "key string, value binary, version long, created_at timestamp, updated_at timestamp, ttl_ms long, deleted boolean"
-FEED = "seq long, op string, ts timestamp, key string, value string"
 WAL_RECORD = "segment string, seq long, op string, ts_ns long, key binary, value binary"
-NODE = "node_id string, address string, status string, last_heartbeat timestamp, is_leader boolean, version string"
 RING_ENTRY = "h long, node_id string"
 HINT = "target_node string, op string, key string, value string, ts timestamp, seq long"
 
-PUT, DELETE = "put", "delete"
-ALIVE, SUSPECT, DEAD = "alive", "suspect", "dead"
-
 
 class TidemarkError(Exception):
     """Base of all errors of this package."""

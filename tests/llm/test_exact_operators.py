@@ -212,6 +212,33 @@ def test_mix_keeps_rows_and_meets_targets(spark):
     assert mixing.mix(df.limit(0), (3, 1, 2)).count() == 0
 
 
+def test_weights_must_be_positive(spark):
+    df = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    for weights in ((0, 1), (-1,), ()):
+        with pytest.raises(ValueError):
+            mixing.mix(df, weights)
+
+
+def test_mix_of_a_third_of_equal_rows_and_of_null_ids(spark):
+    rows = [(None, "one two three", "hot", 1)] * 900 + [(None, f"w{k} x", "hot", 1) for k in range(300)] + [(k, "long " * (20_000 if k == 5 else 7), f"s{k % 3}", k) for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+    mixed = [mixing.mix(df, (1, 5, 3)).drop("doc_id").toPandas() for _ in range(2)]
+    assert sorted(map(tuple, mixed[0].values.tolist())) == sorted(map(tuple, mixed[1].values.tolist())) and len(mixed[0]) == len(rows)
+    for source, g in mixed[0].groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 + 1, source
+    part = mixed[0][mixed[0].text == "one two three"].repeats
+    repeated = mixing.repeat(mixing.mix(df, (1, 5, 3)))
+    assert repeated.count() == mixed[0].repeats.sum() and repeated.columns[-1] == "copy" and part.nunique() <= 2
+
+
+def test_numbers_of_many_sources(spark):
+    names = [f"s{k:05d}" for k in range(3000)] + [None]
+    random.Random(8).shuffle(names)
+    df = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(6)
+    got = {r["source"]: r["rank"] for r in mixing.ranked(df).collect()}
+    assert got == {n: k for k, n in enumerate([*sorted(n for n in names if n), None])}
+
+
 def test_words_are_ascii_blank_runs(spark):
     texts = {"a b": 2, "": 0, None: 0, " \t\n\x0b\x0c\r": 0, "a\u00a0b": 1, "é\n日本 x": 3}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mixing.word_count(F.col("t")).alias("n")).collect()

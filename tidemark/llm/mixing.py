@@ -1,114 +1,156 @@
 """Mixing sources to target weights: capped water-filling and seeded repetitions, DataFrame operations only.
 
-Each source has a weight and a cap of ``max_epochs`` times its size. Clamping
-sources at their caps and sharing the excess among the others by weight, until
-none is above, ends at one level L with target = min(cap, L * weight); L is
-found by one pass over the sources in order of cap / weight.
+Each source has a weight and a cap of ``max_epochs`` times its size. Sources whose share by weight is above their cap are clamped,
+and the excess is shared among the others by weight, until none is above; each round is one aggregation over the
+table of sources, which may have any number of rows.
 
 Sampling takes whole documents: floor(target / size) times all of them, and for
-the fraction those that come first in a seeded hash order. The order is cut in
-two steps, so that no source's documents meet in one task: sizes are summed by
-the hash's first bits, cumulated over these buckets, and only the one bucket in
-which the fraction ends is ordered by document.
+the fraction those that come first in a seeded hash order of id and text. Where it ends is found digit by digit of the hash:
+sizes are summed by the first ``DIGITS`` digits, then below the prefix in which the fraction ends by the next, and at last by the whole
+hash. So no task orders more than 16 ** DIGITS sums a source, or the 16 ** -(DIGITS * LEVELS) part of it, and each document is
+then decided by comparing its hash with its source's last one. Words are counted twice: once for the narrow table of (source, hash,
+size), from which all of this is found, and once for the result.
 
 Defined cases: a null text has size 0; a null source is one source, ranked
 last; a source of size 0 has target 0 and nothing is taken from it; an empty
-table gives an empty result; repeated rows are documents of their own, ordered
-by hash, id, text hash. Should all sources together be too small for the
-wanted total, every target is its cap. An extra column with the name of a
+table gives an empty result; ids may be null or repeat. Rows of equal id and text are ordered by a hash of their other columns of
+simple types; if the end falls among rows equal in all of these, as many of them as are wanted are taken. Should all sources together be
+too small for the wanted total, every target is its cap. Weights must be above 0. An extra column with the name of a
 result column is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 #: What counts as a word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Largest table of sources that is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
+DIGITS, LEVELS = 3, 2
+RESULTS = ("size", "source_size", "target", "repeats", "taken")
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``rank``, from 0, by source, null last: a distributed sort, numbered by the rows before each partition. Written."""
+    from ..runtime import persist
+
+    placed = persist(sources.sparkSession, sources.orderBy(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "mixing-sources")
+    part = F.shiftright("_at", 33).cast("int")
+    counts = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=0)))]
+    return placed.withColumn("rank", F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), part + 1) + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+
+
 def source_targets(sources: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
-    """``sources`` has one row per source: source and source_size. Adds ``target``.
+    """``sources`` has one row per source: source and source_size. Adds ``target``."""
+    if not weights or min(weights) <= 0:
+        raise ValueError("weights must be above 0")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighed = ranked(sources).withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs)))
+    total, level, clamped = None, None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("_cap") <= F.lit(level) * F.col("_w")
+        now = weighed.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("_cap"))).alias("caps"), F.sum(F.when(~over, F.col("_w"))).alias("weights"), F.sum("source_size").alias("size")).first()
+        total = float(share) * float(now["size"] or 0)
+        if now["n"] == clamped or not now["weights"]:
+            level = level if now["weights"] else None
+            break
+        level, clamped = (total - (now["caps"] or 0.0)) / now["weights"], now["n"]
+    target = F.col("_cap") if level is None else F.least(F.col("_cap"), F.lit(level) * F.col("_w"))
+    return weighed.select("source", "source_size", target.alias("target"))
+
+
+def _small(rows: DataFrame, source: str) -> DataFrame:
+    """A written table with a row for each source, marked for broadcast if it is small; else the join is left to Spark, which splits hot sources."""
+    size = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length(source)).alias("bytes")).first()
+    return F.broadcast(rows) if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else rows
+
+
+def _ends(sums: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of ``sums`` (source, at, in_all, copies) the row of each source at which ``wanted`` (of, wanted) is reached in order of ``at``, and what is wanted of it."""
+    running = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = sums.withColumn("upto", F.sum("in_all").over(running)).join(wanted.select("of", "wanted"), F.col("source").eqNullSafe(F.col("of")))
+    met = upto.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("in_all") < F.col("wanted")))
+    return met.select("of", "at", "in_all", "copies", (F.col("wanted") - (F.col("upto") - F.col("in_all"))).alias("wanted"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """Add size, source_size, target, repeats and taken to ``docs`` (doc_id, text, source and any others).
 
-    One row per source, not per document, meets in the windows.
+    ``share`` is the wanted total as a multiple of all sizes. ``taken`` is repeats times size.
     """
-    by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = (F.row_number().over(by_source) - 1) % len(weights) + 1
-    weighed = sources.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), rank))
-    weighed = weighed.withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs)))
-    # In order of cap / weight the first sources are clamped; with the sources before it clamped, a source's own level tells whether it is clamped too.
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    total = F.sum("source_size").over(everything) * F.lit(float(share))
-    level = (total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest)
-    levels = weighed.withColumn("_level", level).withColumn("_clamped", F.col("_cap") <= F.col("_level") * F.col("_w"))
-    common = F.min(F.when(~F.col("_clamped"), F.struct(F.col("_cap") / F.col("_w"), "_level"))).over(everything)["_level"]
-    return levels.withColumn("target", F.coalesce(F.least(F.col("_cap"), common * F.col("_w")), F.col("_cap"))).select("source", "source_size", "target")
-
-
-def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, bucket_digits: int = 4) -> DataFrame:
-    """Add size, source_size, target, repeats and taken to ``docs`` (doc_id, text, source and any others).
+    from ..runtime import discard, persist
+
+    spark = docs.sparkSession
+    own = [c for c in docs.columns if c.lower() not in RESULTS]
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name in own and f.name.lower() not in ("doc_id", "text", "source") and isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+    key = F.concat(key, F.lpad(F.hex(F.xxhash64(*others)), 16, "0")) if others else key
+    summed = F.sum("size").alias("in_all"), F.count("*").alias("copies")
+
+    narrow = persist(spark, docs.select("source", key.alias("key"), word_count(F.col("text")).alias("size")), "mixing-sizes")
+    sums = persist(spark, narrow.groupBy("source", F.substring("key", 1, DIGITS).alias("at")).agg(*summed), "mixing-sums")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("in_all").alias("source_size")), weights, share, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = persist(spark, targets.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("wanted")), "mixing-plan")
+
+    ends = persist(spark, _ends(sums, _small(plan, "of")), "mixing-ends")
+    for level in range(2, LEVELS + 2):
+        found = _small(ends.select("of", "wanted", F.col("at").alias("prefix")), "of")
+        below = narrow.join(found, F.col("source").eqNullSafe(F.col("of")) & F.col("key").startswith(F.col("prefix")))
+        at = F.substring("key", 1, DIGITS * level) if level <= LEVELS else F.col("key")
+        before, ends = ends, persist(spark, _ends(below.groupBy("source", at.alias("at")).agg(*summed), found), "mixing-ends")
+        discard(before)
+    # The fraction ends at rows of one hash, nearly always one row: as many of them are taken as come nearest to what is wanted.
+    last = ends.select(F.col("of").alias("at_of"), F.col("at").alias("end"), "copies", F.floor(F.col("wanted") / (F.col("in_all") / F.col("copies")) + 0.5).alias("some"))
+    before, plan = plan, persist(spark, plan.join(last, F.col("of").eqNullSafe(F.col("at_of")), "left").drop("at_of", "wanted"), "mixing-plan")
+    discard(narrow, sums, ends, before)
+
+    names = ("of", "source_size", "target", "whole", "end", "copies", "some")
+    dealt = docs.select(*[F.col(f"`{c}`") for c in own], word_count(F.col("text")).alias("size"), key.alias("tidemark__key"))
+    dealt = dealt.join(_small(plan, "of").select(*[F.col(c).alias(f"tidemark__{c}") for c in names]), F.col("source").eqNullSafe(F.col("tidemark__of")), "left")
+    at_end = F.col("tidemark__key") == F.col("tidemark__end")
+    taken_whole = F.when(at_end, F.col("tidemark__some") >= F.col("tidemark__copies")).otherwise(F.col("tidemark__key") < F.col("tidemark__end"))
+    rows = dealt.withColumn("tidemark__more", F.coalesce(taken_whole, F.lit(False)).cast("long"))
+    if not plan.where("some > 0 AND some < copies").isEmpty():
+        part = F.coalesce(at_end & F.col("tidemark__some").between(1, F.col("tidemark__copies") - 1), F.lit(False))
+        rows = rows.where(~part).unionByName(_some_of(dealt.where(part)))
+    return rows.withColumn("repeats", F.col("tidemark__whole") + F.col("tidemark__more")).select(
+        *[F.col(f"`{c}`") for c in own], "size", F.col("tidemark__source_size").alias("source_size"), F.col("tidemark__target").alias("target"), "repeats", (F.col("repeats") * F.col("size")).alias("taken")
+    )
 
-    ``share`` is the wanted total as a multiple of all sizes. ``taken`` is
-    repeats times size. ``bucket_digits`` hexadecimal digits of the hash make a
-    bucket, so about 16 ** -bucket_digits of a source is ordered in one task.
+
+def _some_of(equal: DataFrame) -> DataFrame:
+    """Rows that are equal within their source, ``tidemark__some`` of each source's with tidemark__more 1, the others 0.
+
+    They may be many, so they are not ordered in one task: written, numbered within the partition that wrote them, and counted before it.
     """
     from ..runtime import persist
 
-    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "repeats", "taken")]
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(*[F.col(f"`{c}`") for c in own], word_count(F.col("text")).alias("size"), hashed.alias("tidemark__hash"), F.xxhash64("text").alias("tidemark__text"))
-    sized = sized.withColumn("tidemark__bucket", F.substring("tidemark__hash", 1, bucket_digits))
-
-    buckets = sized.groupBy("source", "tidemark__bucket").agg(F.sum("size").alias("_in"))
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("_in").alias("source_size")), weights, share, max_epochs)
-    plan = targets.select(
-        F.col("source").alias("tidemark__source"),
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("tidemark__whole"),
-    ).withColumn("tidemark__part", F.col("target") - F.col("tidemark__whole") * F.col("source_size"))
-
-    # The bucket of each source in which the fraction ends, and how much of it is wanted.
-    running = Window.partitionBy("source").orderBy("tidemark__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = (
-        buckets.withColumn("_upto", F.sum("_in").over(running))
-        .join(plan.select("tidemark__source", "tidemark__part"), F.col("source").eqNullSafe(F.col("tidemark__source")))
-        .where((F.col("_upto") >= F.col("tidemark__part")) & (F.col("_upto") - F.col("_in") < F.col("tidemark__part")))
-        .select("tidemark__source", F.col("tidemark__bucket").alias("tidemark__end"), (F.col("tidemark__part") - (F.col("_upto") - F.col("_in"))).alias("tidemark__wanted"))
-    )
-    plan = plan.join(ends.withColumnRenamed("tidemark__source", "tidemark__s"), F.col("tidemark__source").eqNullSafe(F.col("tidemark__s")), "left").drop("tidemark__s")
-    # One row per source: written, measured, and broadcast if it is small; else the join is left to Spark, which splits hot sources.
-    plan = persist(docs.sparkSession, plan, "mixing-plan")
-    size = plan.agg(F.count("*").alias("rows"), F.sum(F.octet_length("tidemark__source")).alias("bytes")).first()
-    if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
-        plan = F.broadcast(plan)
-    dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("tidemark__source")), "left")
-
-    inside = dealt.where(F.col("tidemark__bucket") == F.col("tidemark__end"))
-    outside = dealt.where(~F.coalesce(F.col("tidemark__bucket") == F.col("tidemark__end"), F.lit(False)))
-    outside = outside.withColumn("tidemark__more", F.coalesce(F.col("tidemark__bucket") < F.col("tidemark__end"), F.lit(False)).cast("long"))
-    in_order = Window.partitionBy("source", "tidemark__bucket").orderBy("tidemark__hash", "doc_id", "tidemark__text")
-    upto = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Of the document that crosses the end, the half decides: it is taken if most of it is wanted.
-    inside = inside.withColumn("tidemark__more", (upto - F.col("size") / 2 <= F.col("tidemark__wanted")).cast("long"))
-    return (
-        outside.unionByName(inside)
-        .withColumn("repeats", F.col("tidemark__whole") + F.col("tidemark__more"))
-        .withColumn("taken", F.col("repeats") * F.col("size"))
-        .select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", "repeats", "taken")
-    )
+    placed = persist(equal.sparkSession, equal.withColumn("tidemark__at", F.monotonically_increasing_id()), "mixing-equal").withColumn("tidemark__part", F.shiftright("tidemark__at", 33))
+    by_part = placed.groupBy("tidemark__of", "tidemark__part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("tidemark__of").orderBy("tidemark__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_part.select(F.col("tidemark__of").alias("_of"), F.col("tidemark__part").alias("_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = placed.withColumn("_place", F.row_number().over(Window.partitionBy("tidemark__of", "tidemark__part").orderBy("tidemark__at")))
+    joined = numbered.join(before, F.col("tidemark__of").eqNullSafe(F.col("_of")) & (F.col("tidemark__part") == F.col("_part")))
+    more = (F.col("_before") + F.col("_place") <= F.col("tidemark__some")).cast("long")
+    return joined.withColumn("tidemark__more", more).drop("tidemark__at", "tidemark__part", "_of", "_part", "_before", "_place")
+
+
+def repeat(mixed: DataFrame) -> DataFrame:
+    """The mix itself: each row of ``mix`` as often as it repeats, rows that it does not take left out; ``copy`` counts from 1."""
+    return mixed.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
 
 
 #: Weights of op8's sources in code point order, repeating.
@@ -124,8 +166,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-             md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+             md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, list_extract([3.0, 1.0, 2.0]::DOUBLE[], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)) AS w, source_size * 2.0::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
@@ -134,12 +176,10 @@ s2 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
 l AS (SELECT arg_min(lev, cap / w) AS lev FROM s2 WHERE cap > lev * w),
 s3 AS (SELECT source, source_size, coalesce(least(cap, l.lev * w), cap) AS target FROM s2 CROSS JOIN l),
 s4 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM s3),
-p AS (SELECT d.*, s4.source_size, s4.target, s4.whole, target - whole * s4.source_size AS part, substr(h, 1, 4) AS b,
-        sum(size) OVER (PARTITION BY d.source ORDER BY substr(h, 1, 4)) AS upto_bucket,
-        sum(size) OVER (PARTITION BY d.source, substr(h, 1, 4)) AS in_bucket,
-        sum(size) OVER (PARTITION BY d.source, substr(h, 1, 4) ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+p AS (SELECT d.*, s4.source_size, s4.target, s4.whole, target - whole * s4.source_size AS part,
+        row_number() OVER (PARTITION BY d.source, h) AS copy,
+        sum(size) OVER (PARTITION BY d.source ORDER BY h) - sum(size) OVER (PARTITION BY d.source, h) AS before
       FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source)
-SELECT doc_id, size, source_size, target,
-  size * (whole + CASE WHEN upto_bucket < part THEN 1 WHEN upto_bucket - in_bucket >= part THEN 0 WHEN upto - size / 2 <= part - (upto_bucket - in_bucket) THEN 1 ELSE 0 END) AS taken
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN size > 0 AND copy <= floor((part - before) / size + 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM p
 """

@@ -1,7 +1,8 @@
 """A training corpus from raw documents: toxic documents go, near copies collapse, benchmark leaks go, secrets are masked, sources are mixed.
 
 ``STAGES`` lists (name, function) in order; each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the
-last return the columns of ``docs``; the last adds each document's size, its source's target, and how often the mix repeats it.
+last return the columns of ``docs``; the last holds each document as often as the mix repeats it, and adds its size, its source's size and
+target, repeats, taken (repeats times size) and copy (which of the repeats a row is). Columns named like these are replaced; column names beginning with ``tidemark__`` are the pipeline's own.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix sources by weight to 150 % of the words left, two epochs of any source at most."""
-    return mixing.mix(docs, mixing.WEIGHTS)
+    """Mix sources by weight to 150 % of the words left, two epochs of any source at most; each document is there as often as the mix repeats it."""
+    return mixing.repeat(mixing.mix(docs, mixing.WEIGHTS))
 
 
 STAGES = [

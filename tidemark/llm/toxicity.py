@@ -5,7 +5,7 @@
 2. Lexicons are induced from it: words and word beginnings whose document counts
    among toxic rows are far from chance (a binomial tail). They are dealt to
    lexicon voters by kind and rank; pattern voters look at the number of hits,
-   a list of common English insults, shouting and masked letters. The given
+   shouting and masked letters. The given
    label is one more voter, as annotators err too.
 3. The label model estimates every voter's accuracies by expectation
    maximisation, and, from the voters' covariance within each class, how far
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import comb, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,6 @@ from .words import blocks, shingle_hashes, word_hashes
 
 TRAIN_ROWS = 30_000
 PREFIXES = (4, 5, 6, 7, 8)
-MAX_ENTRIES = 4_000
 #: Share of entries that may be there by chance (Benjamini and Hochberg).
 FALSE_ENTRIES = 0.01
 MIN_TOXIC = 3
@@ -50,9 +49,6 @@ THRESHOLD = 0.7
 SHARDS = (5, 3, 3, 2)
 N_LEXICONS = sum(SHARDS)
 
-#: Common English insults, for the voter that needs no training.
-INSULTS = "idiot idiots moron morons stupid dumb dumbass fool loser losers scum trash garbage pathetic worthless disgusting clown clowns jerk creep freak imbecile retard bastard bitch asshole shit fuck fucking crap hate ugly liar pig filthy vermin degenerate hypocrite coward".split()
-
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, text index) of all words and word beginnings of texts without nulls; the hashes of beginnings are odd, those of words even."""
@@ -103,24 +99,17 @@ class Lexicon:
         return pairs % (n + kinds), pairs // (n + kinds)
 
 
-_insults = np.sort(word_hashes(pa.array(INSULTS))[0])
-
-
 def votes(texts: pa.Array, entries: np.ndarray, of: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """One row per text, one column per voter: 1 toxic, -1 clean, 0 abstains."""
     n, m = len(texts), N_LEXICONS
-    out = np.zeros((n, m + 6), np.int8)
+    out = np.zeros((n, m + 5), np.int8)
     out[of, lexicon.voter[entries]] = 1
     words = np.bincount(of[lexicon.voter[entries] < SHARDS[0] + SHARDS[1]], minlength=n)
     out[:, m] = np.where(np.bincount(of, minlength=n) == 0, -1, 0)
     out[:, m + 1] = np.where(words >= 2, 1, np.where(words == 0, -1, 0))
     out[:, m + 2] = np.where(words >= 4, 1, 0)
-    hashes, bounds = word_hashes(texts)
-    known = np.isin(hashes, _insults)
-    insulted = np.add.reduceat(np.append(known, False).astype(np.int64), bounds[:-1]) * (np.diff(bounds) > 0) if n else np.zeros(0)
-    out[:, m + 3] = np.where(insulted > 0, 1, 0)
-    out[:, m + 4] = np.where(pc.match_substring_regex(texts, r"(?:\p{Lu}{4,}[!?]+ ?){2}").to_numpy(zero_copy_only=False), 1, 0)
-    out[:, m + 5] = np.where(pc.match_substring_regex(texts, r"\b\p{L}[*#@$]{2,}\p{L}?\b").to_numpy(zero_copy_only=False), 1, 0)
+    out[:, m + 3] = np.where(pc.match_substring_regex(texts, r"(?:\p{Lu}{4,}[!?]+ ?){2}").to_numpy(zero_copy_only=False), 1, 0)
+    out[:, m + 4] = np.where(pc.match_substring_regex(texts, r"\b\p{L}[*#@$]{2,}\p{L}?\b").to_numpy(zero_copy_only=False), 1, 0)
     return out
 
 
@@ -171,15 +160,18 @@ def _clean_counts(candidates: np.ndarray):
     return run
 
 
-def _tail(a: int, b: int, p: float) -> float:
-    """The chance of at least a of a + b, each with chance p."""
-    n = a + b
-    if n < 400:
-        return sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(a, n + 1))
-    if a <= n * p:
-        return 1.0
-    q = a / n  # the Chernoff bound
-    return float(np.exp(-n * (q * log(q / p) + ((1 - q) * log((1 - q) / (1 - p)) if q < 1 else 0.0))))
+def tails(a: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """The chance of at least a of n, each with chance p: sums of binomial terms, one for each distinct (a, n)."""
+    most = int(n.max(initial=0))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
+    pairs, which = np.unique(np.stack([a, n], 1), axis=0, return_inverse=True)
+    out = np.empty(len(pairs))
+    for row, (x, total) in enumerate(pairs.tolist()):
+        k = np.arange(x, total + 1)
+        terms = logs[total] - logs[k] - logs[total - k] + k * log(p) + (total - k) * log(1 - p)
+        top = terms.max()
+        out[row] = min(1.0, np.exp(top) * np.exp(terms - top).sum())
+    return out[which.ravel()]
 
 
 def induce(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
@@ -193,12 +185,12 @@ def induce(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     b = np.zeros(len(hashes), np.int64)
     b[np.searchsorted(hashes, rest["entry"].to_numpy().view(np.uint64))] = rest["n"].to_numpy()
     p = n_toxic / (n_toxic + n_clean)
-    chance = np.array([_tail(int(x), int(y), p) for x, y in zip(a, b, strict=True)])
+    chance = tails(a, a + b, p)
     order = np.argsort(chance, kind="stable")
     passes = np.flatnonzero(chance[order] <= FALSE_ENTRIES * np.arange(1, len(order) + 1) / max(len(order), 1))
     precision = (a + p) / (a + b + 1)
     kept = order[: passes[-1] + 1 if len(passes) else 0]
-    kept = np.sort(kept[precision[kept] >= MIN_PRECISION][:MAX_ENTRIES])
+    kept = np.sort(kept[precision[kept] >= MIN_PRECISION])
     kind = 2 * (hashes[kept] & np.uint64(1)).astype(np.int64) + (precision[kept] < STRONG)
     shards = np.array(SHARDS)
     voter = np.concatenate([[0], np.cumsum(shards)])[kind] + ((hashes[kept] >> np.uint64(8)) % shards[kind].astype(np.uint64)).astype(np.int64)
@@ -298,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, to: str = "score", flag: str = "predicted") -> DataFrame:
-    """Add the columns ``to`` and ``flag``, from ``text`` alone. The broadcast model has at most MAX_ENTRIES entries and a fixed table of 1 MB."""
+    """Add the columns ``to`` and ``flag``, from ``text`` alone. The broadcast model has the lexicon's entries, which the training sample bounds, and a fixed table of 1 MB."""
     from ..runtime import ship
 
     ship(docs.sparkSession)

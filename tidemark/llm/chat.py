@@ -7,9 +7,9 @@ output only as marks and every text can be read back.
 
 Turns are shuffled by conversation, sorted, and assembled batch by batch: segment
 lengths, cumulative offsets and scatter indices are computed in numpy, and
-headers and contents are copied into one preallocated Arrow buffer. A
-conversation longer than ``PART_BYTES`` comes in several parts, so one of any
-length streams through a task in bounded memory.
+headers and contents are copied into one preallocated Arrow buffer, about ``PART_BYTES`` at a time. A
+conversation longer than that comes in several parts, so one of any number of turns streams through a task in bounded
+memory; a single turn is never cut. All turns of a conversation, and so all rows whose conv_id is null, are sorted in one task, as its parts are in order.
 
 Defined cases: null roles and texts are empty; a null turn comes first, a null
 conv_id is one conversation; turns that tie are ordered by role and text, and
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .words import raw_bytes
 
 PART_BYTES = 8 << 20
+#: Texts and roles longer than this are copied one by one, shorter ones by scatter indices (16 bytes a byte of a part).
+LONG_BYTES = 1 << 16
 FORMATTED = "conv_id long, part int, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
 
 _OPEN, _COLON, _CLOSE = b"### ", b": ", b" </turn>\n"
@@ -72,16 +74,23 @@ def assemble(roles: pa.Array, texts: pa.Array, ends: np.ndarray) -> tuple[pa.Arr
         mark = np.frombuffer(mark, np.uint8)
         buffer[(at[:, k, None] + np.arange(len(mark))).ravel()] = np.tile(mark, n)
     for k, data, own, size in ((1, role_bytes, role_at, role_len), (3, text_bytes, text_at, text_len)):
-        buffer[np.repeat(at[:, k] - own[:-1], size) + np.arange(len(data))] = data
+        long = np.flatnonzero(size > LONG_BYTES)
+        for row in long:  # one slice each needs no indices
+            buffer[at[row, k] : at[row, k] + size[row]] = data[own[row] : own[row + 1]]
+        short = np.where(size > LONG_BYTES, 0, size)
+        from_ = np.arange(int(short.sum())) - np.repeat(np.cumsum(short) - short, short)
+        buffer[from_ + np.repeat(at[:, k], short)] = data[from_ + np.repeat(own[:-1], short)]
     bounds = np.concatenate([[0], ends])
-    turn_starts = starts[::5]
-    group_at = turn_starts[bounds]
+    group_at = starts[::5][bounds]
     kind = pa.large_string() if group_at[-1] > 2**31 - 1 else pa.string()
     offsets = group_at.astype(np.int64 if kind == pa.large_string() else np.int32)
     strings = pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)])
-    chars = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])  # code points before each byte
-    base = np.repeat(chars[group_at[:-1]], np.diff(bounds))
-    return strings, chars[at[:, 3]] - base, chars[at[:, 4]] - base
+    # Code points of each segment, and before it; an empty segment has none, whatever reduceat says.
+    points = np.where(lengths.ravel() > 0, np.add.reduceat((buffer & 0xC0) != 0x80, starts[:-1], dtype=np.int64), 0) if n else np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(points)])
+    base = np.repeat(before[::5][bounds[:-1]], np.diff(bounds))
+    first = before[:-1].reshape(n, 5)
+    return strings, first[:, 3] - base, first[:, 4] - base
 
 
 def _format_partition(batches: Iterator[pa.RecordBatch], trained: str, part_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -106,23 +115,32 @@ def _format_partition(batches: Iterator[pa.RecordBatch], trained: str, part_byte
                 ends.append(cut)
                 done = sizes[cut - 1]
             ends.append(hi)
-        strings, text_from, text_to = assemble(roles, texts, np.array(ends))
         loss = np.asarray(pc.equal(roles, trained).to_numpy(zero_copy_only=False), bool)
-        rows: dict[str, list] = {"conv_id": [], "part": [], "n_turns": [], "loss_starts": [], "loss_ends": []}
-        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
-            key = ids[lo].as_py()
-            part = parts.get(key, 0)
-            parts.clear()
-            parts[key] = part + 1
-            rows["conv_id"].append(key)
-            rows["part"].append(part)
-            rows["n_turns"].append(hi - lo)
-            rows["loss_starts"].append(text_from[lo:hi][loss[lo:hi]].tolist())
-            rows["loss_ends"].append(text_to[lo:hi][loss[lo:hi]].tolist())
-        yield pa.record_batch(
-            [pa.array(rows["conv_id"], pa.int64()), pa.array(rows["part"], pa.int32()), pa.array(rows["n_turns"], pa.int64()), strings, pa.array(rows["loss_starts"], pa.list_(pa.int64())), pa.array(rows["loss_ends"], pa.list_(pa.int64()))],
-            names=["conv_id", "part", "n_turns", "formatted", "loss_starts", "loss_ends"],
-        )
+        first = 0
+        while first < len(ends):  # about a part at a time
+            row = ends[first - 1] if first else 0
+            done = sizes[row - 1] if row else 0
+            upto = first + 1
+            while upto < len(ends) and sizes[ends[upto] - 1] - done <= part_bytes:
+                upto += 1
+            own = np.array(ends[first:upto])
+            strings, text_from, text_to = assemble(roles.slice(row, own[-1] - row), texts.slice(row, own[-1] - row), own - row)
+            rows: dict[str, list] = {"conv_id": [], "part": [], "n_turns": [], "loss_starts": [], "loss_ends": []}
+            for lo, hi in zip([row, *own[:-1].tolist()], own.tolist(), strict=True):
+                key = ids[lo].as_py()
+                part = parts.get(key, 0)
+                parts.clear()
+                parts[key] = part + 1
+                rows["conv_id"].append(key)
+                rows["part"].append(part)
+                rows["n_turns"].append(hi - lo)
+                rows["loss_starts"].append(text_from[lo - row : hi - row][loss[lo:hi]].tolist())
+                rows["loss_ends"].append(text_to[lo - row : hi - row][loss[lo:hi]].tolist())
+            yield pa.record_batch(
+                [pa.array(rows["conv_id"], pa.int64()), pa.array(rows["part"], pa.int32()), pa.array(rows["n_turns"], pa.int64()), strings, pa.array(rows["loss_starts"], pa.list_(pa.int64())), pa.array(rows["loss_ends"], pa.list_(pa.int64()))],
+                names=["conv_id", "part", "n_turns", "formatted", "loss_starts", "loss_ends"],
+            )
+            first = upto
 
     for batch in batches:
         if not batch.num_rows:

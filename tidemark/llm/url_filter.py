@@ -33,9 +33,9 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def _suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: str, most: int) -> Column:
+    """The last 1, 2, ... labels of the column ``host``, up to ``most``."""
+    return F.expr(f"transform(sequence(1, least(length({host}) - length(replace({host}, '.', '')) + 1, {most})), k -> substring_index({host}, '.', -k))")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -44,7 +44,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     ``rules`` has host, path and verdict (block or allow) and may be of any
     size: it is never broadcast by a hint, Spark's size estimate decides. The
     lengths of rule paths come to the driver; they are as many as the longest
-    path has characters. Matching runs once for each distinct host and path, so
+    path has characters. So does the number of labels of the longest rule host: no longer suffix can match, so a host
+    of any number of labels is expanded in time proportional to its length. Matching runs once for each distinct host and path, so
     that a URL on a third of all rows is expanded once.
     """
     host, path = split_url(F.col(url))
@@ -53,10 +54,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         F.translate(F.coalesce("host", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("_h"), F.coalesce("path", F.lit("")).alias("_p"), F.col("verdict").alias("_v")
     ).where((F.col("_h") != "") & F.col("_v").isin("block", "allow")).distinct()
     lengths = sorted(r[0] for r in rules.select(F.length("_p")).distinct().collect())
+    labels = rules.agg(F.max(F.length("_h") - F.length(F.replace(F.col("_h"), F.lit("."), F.lit("")))) + 1).first()[0] or 1
     rules = rules.select("*", _digest(F.col("_h"), F.col("_p")).alias("_full")).withColumn("_short", F.substring("_full", 1, 8))
     urls = pages.select("host", "path").distinct().where(F.col("host") != "")
     expressions = (
-        urls.select("host", "path", F.explode(_suffixes(F.col("host"))).alias("_suffix"))
+        urls.select("host", "path", F.explode(_suffixes("host", labels)).alias("_suffix"))
         .select("host", "path", "_suffix", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n"))
         .where((F.length("path") >= F.col("_n")) & (F.col("_suffix") != ""))
         .select("host", "path", _digest(F.col("_suffix"), F.expr("substring(path, 1, _n)")).alias("_digest"))

@@ -3,9 +3,10 @@
 Patterns: assignments to password-like names, access key ids, long hexadecimal
 runs. The test looks at other unbroken runs of letters, digits and ``+/_=-``:
 text that a byte-pair vocabulary knows needs few tokens, random strings need many,
-so a run with few characters per token is reported, unless it is a known kind of
-digest (hexadecimal of a digest's length), a UUID or number, or lies inside a
-pattern's match.
+so a run with few characters per token is reported, or, if readable parts of it hide that, each of its pieces between ``/ _ - =`` that has.
+Not tested are known kinds of digests (hexadecimal of a digest's length), UUIDs and numbers, what lies inside a
+pattern's match, runs of fewer than ``MIN_DISTINCT`` different characters, and runs that are written like words: without a digit and
+with fewer than ``MIN_CAPITALS`` capitals after the first letter, or without any small letter.
 
 A linear-time scan over the Arrow column finds the texts that can match at all;
 only these are searched one by one. Texts are never cut.
@@ -36,10 +37,12 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9+]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9A-F]{128})$")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 NUMBER = re.compile(r"[0-9+/_=-]+$")
 MIN_ASSIGNED, MIN_ACCESS = 6, 20
+MIN_DISTINCT, MIN_CAPITALS = 8, 3
 #: Runs below so many characters a token are random; words and identifiers made of them lie above.
 MAX_RATIO = 1.9
 #: For Arrow's linear-time matcher: texts without this have no span of any kind.
@@ -70,19 +73,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def _is_random(run: str, encode, max_ratio: float) -> bool:
+    if len(set(run)) < MIN_DISTINCT or DIGEST.match(run) or UUID.match(run) or NUMBER.match(run):
+        return False
+    digits, capitals, small = any(c.isdigit() for c in run), sum(c.isupper() for c in run[1:]), any(c.islower() for c in run)
+    if not (digits and (capitals or small)) and not (capitals >= MIN_CAPITALS and small):
+        return False
+    return len(run) < max_ratio * len(encode(run))
+
+
 def random_spans(text: str, base: list[tuple[str, int, int]], encode, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
-    """Runs that the vocabulary compresses badly."""
+    """Runs, or pieces of them, that the vocabulary compresses badly."""
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or len(set(run)) < 8:
-            continue
-        if DIGEST.match(run) or UUID.match(run) or NUMBER.match(run):
-            continue
-        if any(lo <= m.start() and m.end() <= hi for _, lo, hi in base):
-            continue
-        if len(run) < max_ratio * len(encode(run)):
-            found.append(("random", m.start(), m.end()))
+        runs = [(m.start(), m.end())]
+        if not _is_random(m[0], encode, max_ratio):
+            runs = [(m.start() + x.start(), m.start() + x.end()) for x in PIECE.finditer(m[0]) if len(x[0]) < len(m[0]) and _is_random(x[0], encode, max_ratio)]
+        found += [("random", lo, hi) for lo, hi in runs if not any(a <= lo and hi <= b for _, a, b in base)]
     return found
 
 

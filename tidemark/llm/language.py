@@ -29,6 +29,8 @@ from .words import blocks, raw_bytes
 
 BUCKETS = 1 << 15
 FEW = 1_000
+#: The matrix is broadcast, 128 KB a language; more languages than this are refused rather than dropped.
+MAX_LANGUAGES = 2_000
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
@@ -91,8 +93,10 @@ def _counts(languages: list[str], buckets: int):
 def train(rows: DataFrame, train_rows: int | None = None, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each bucket and language (buckets by languages), from rows with doc_id, text and lang."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} fit into the matrix that is broadcast")
     if not languages:
         return [], np.zeros((buckets, 0), np.float32)
     if train_rows is not None and train_rows < sum(sizes.values()):

@@ -39,6 +39,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def open_store(uri: str):
+    """(file system, path) of a URI for Python code on executors; schemes of Hadoop's connectors go to the stores they stand for."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else uri)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system, so that any store works."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..runtime import open_store
 from ..types import WAL_RECORD, BadChecksum, BadMagic, BadVersion, CorruptRecord, TruncatedLog
 
 #: Fixed values of the format.
@@ -95,10 +96,9 @@ def _encode_partition(folder: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = open_store(folder)
         store.create_dir(base, recursive=True)
         task, written, parts, size, n = TaskContext.get().partitionId(), [], [], 0, 0
 
@@ -149,7 +149,7 @@ class _LogReader(DataSourceReader):
     def partitions(self) -> list[_Segment]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(self.path)
+        store, base = open_store(self.path)
         info = store.get_file_info(base)
         if info.type == fs.FileType.File:
             return [_Segment(self.path)]
@@ -158,9 +158,7 @@ class _LogReader(DataSourceReader):
         return [_Segment(scheme + f) for f in found]
 
     def read(self, partition: _Segment) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, name = fs.FileSystem.from_uri(partition.path)
+        store, name = open_store(partition.path)
         with store.open_input_stream(name, compression=None) as file:
             yield from _rows(name.rsplit("/", 1)[-1], file.read())
 

@@ -24,10 +24,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import open_store
+
 FILE_BYTES = 64 << 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,7 +87,7 @@ class Writer:
     """Writes records into files of bounded size under one folder of any store that ``pyarrow.fs`` opens."""
 
     def __init__(self, folder: str):
-        self.fs, self.folder = fs.FileSystem.from_uri(folder)
+        self.fs, self.folder = open_store(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.scheme = folder[: len(folder) - len(self.folder)] if folder.endswith(self.folder) else ""
         self.out, self.done, self.records, self.bytes = None, [], 0, 0
@@ -117,7 +118,7 @@ class Writer:
 
 def records(path: str, step: int = 1 << 20) -> Iterator[bytes]:
     """The records of one archive, read in blocks; one record at a time is in memory."""
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = open_store(path)
     with store.open_input_stream(name, compression=None) as file:
         unpacker, parts = zlib.decompressobj(31), []
         block = file.read(step)
@@ -236,11 +237,13 @@ def write_deduplicated(spark: SparkSession, resolved: DataFrame, folder: str, ta
 
 def deduplicate_archives(spark: SparkSession, manifest: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Read archives, resolve revisits, write deduplicated archives under ``folder``; returns their manifest."""
-    from ..runtime import persist
+    from ..runtime import discard, persist
 
     tasks = archive_tasks(manifest)
     headers = persist(spark, read_headers(manifest, tasks), "warc-headers")
-    return write_deduplicated(spark, resolve_revisits(headers, min_bytes), folder, tasks)
+    final = write_deduplicated(spark, resolve_revisits(headers, min_bytes), folder, tasks)
+    discard(headers)
+    return final
 
 
 def archive_tasks(manifest: DataFrame) -> int:
@@ -250,12 +253,15 @@ def archive_tasks(manifest: DataFrame) -> int:
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, deduplicate the archives, and read the new ones back."""
-    from ..runtime import scratch_path, ship, table
+    from ..runtime import discard, drop_scratch, scratch_path, ship, table
 
     ship(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    first = write_archives(spark, pages, scratch_path(spark, "warc"))
+    folder = scratch_path(spark, "warc")
+    first = write_archives(spark, pages, folder)
     final = deduplicate_archives(spark, first, scratch_path(spark, "warc"))
+    discard(first)
+    drop_scratch(spark, folder)  # the result is read from the deduplicated archives, which stay
     return read_headers(final, archive_tasks(final)).select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_source").alias("refers_to"))
 
 

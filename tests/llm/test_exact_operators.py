@@ -75,6 +75,27 @@ def test_chat_parts_and_empty_table(spark):
     assert chat.format_conversations(long.limit(0)).count() == 0
 
 
+def test_chat_of_very_long_turns():
+    rng = random.Random(24)
+    texts = ["x" * 200_000, "", "é### 日</turn>\\" * 30_000, "short", "y" * (chat.LONG_BYTES + 1), "z" * chat.LONG_BYTES, ""]
+    roles = ["user", "assistant", "assistant", "", "a" * 70_000, "b:c", "user"]
+    order = [rng.randrange(len(texts)) for _ in range(30)]
+    roles, texts = [roles[k] for k in order], [texts[k] for k in order]
+    strings, starts, ends = chat.assemble(pa.array(roles), pa.array(texts), np.array([1, 2, 17, 30]))
+    whole = strings.to_pylist()
+    assert [t for w in whole for t in chat.parse_turns(w)] == list(zip(roles, texts, strict=True))
+    group = np.repeat(range(4), [1, 1, 15, 13])
+    assert [chat.unescape(whole[g][a:b]) for g, a, b in zip(group, starts, ends, strict=True)] == texts
+
+
+def test_a_batch_is_assembled_about_a_part_at_a_time(spark, monkeypatch):
+    turns = pa.record_batch([pa.array([k // 3 for k in range(300)], pa.int64()), pa.array(["user", "assistant", ""] * 100), pa.array(["x" * 50] * 300)], names=["conv_id", "role", "text"])
+    sizes, plain = [], chat.assemble
+    monkeypatch.setattr(chat, "assemble", lambda roles, texts, ends: (sizes.append(sum(map(len, texts.to_pylist()))), plain(roles, texts, ends))[1])
+    rows = [r for b in chat._format_partition(iter([turns]), "assistant", 1000) for r in b.to_pylist()]
+    assert max(sizes) <= 1200 and [r["conv_id"] for r in rows] == list(range(100)) and all(r["part"] == 0 and r["n_turns"] == 3 for r in rows)
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 
 
@@ -159,6 +180,39 @@ def test_random_strings_but_not_digests_or_words():
     assert [k for k, _ in spans(hashlib.sha1(b"x").hexdigest())] == ["hex"]
 
 
+def test_readable_parts_do_not_hide_a_random_string():
+    ranks = Path(secrets.VOCABULARY).read_text()
+    spans = lambda t: [t[s["start"] : s["end"]] for s in secrets.scan(pa.array([t]), ranks)[0].as_py()]
+    rng = np.random.default_rng(30)
+    letters, digits = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), list("0123456789")
+    for prefix in ("https/production/database/connection/", "com/v1/users/session/documents/public/"):
+        found = sum(key in x for key in ["".join(rng.choice(letters + digits, 24)) for _ in range(60)] for x in spans(prefix + key)[:1])
+        assert found >= 50, prefix
+    assert sum(bool(spans("".join(rng.choice(letters, 30)))) for _ in range(60)) >= 55
+    for plain in ("internationalizationConfigurationParameters", "getUserSessionDocumentFromDatabase", "Donaudampfschifffahrtsgesellschaft", "averyveryverylongwordthatisnosecretatall", "https/production/database/connection"):
+        assert spans(plain) == [], plain
+
+
+def test_op7_equals_brute_force(spark, sf_dir):
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{sf_dir}/documents.parquet'").fetchall())
+    rows = secrets.op7_secret_scan(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        base = brute_base(texts[r["doc_id"]])
+        kinds = [x.split(":")[0] for x in base.split(",")]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if not x.startswith("random")] == base.split(",") or (base == "" and all(x.startswith("random") or not x for x in r["spans"].split(",")))
+
+
+def test_secrets_of_nothing_and_of_long_and_repeated_texts(spark):
+    long = "word " * 100_000 + "token = abcdef1 " + "word " * 100_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, None), (None, "")], "doc_id long, text string")
+    got = [secrets_ for secrets_ in (r["s"] for r in secrets.find_secrets(df, to="found").select(secrets.span_list(F.col("found")).alias("s")).collect())]
+    assert got == ["assign:500000:515", "assign:500000:515", "", ""] or got == ["assign:500000:500015"] * 2 + ["", ""]
+    assert secrets.find_secrets(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+
+
 def test_redaction_masks_every_span_once(spark):
     key = "Zx8Qw3Lp0Vb7Nm2Kc9Jd4Fh6Gs1Ta5Ry"
     texts = {"a token = abcdef012345 b": "a [SECRET] b", f"é {key} 日 {key}": "é [SECRET] 日 [SECRET]", "plain": "plain", "secret: " + "0123456789abcdef" * 2 + " z": "[SECRET] z", None: None, "": ""}
@@ -276,6 +330,15 @@ def test_rules_equal_brute_force(spark):
     assert url_filter.filter_urls(df.limit(0), table).count() == 0
 
 
+def test_hosts_of_many_labels_and_long_urls(spark):
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("a.b.com", "/", "allow"), ("x.y.z.w", "/p", "block")], "host string, path string, verdict string")
+    hosts = {1: "l." * 30_000 + "com", 2: "l." * 30_000 + "a.b.com", 3: "." * 20_000, 4: "x.y.z.w", 5: "y.z.w", 6: "com"}
+    rows = [(k, f"http://{h}/en/{'q' * 100_000}") for k, h in hosts.items()] + [(7, "http://x.y.z.w/p"), (8, "http://COM/en/?a#b")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("com/en/", "block"), 2: ("a.b.com/", "allow"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: ("com/en/", "block"), 7: ("x.y.z.w/p", "block"), 8: ("com/en/", "block")}
+    assert url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules.limit(0)).where("rule IS NOT NULL").count() == 0
+
+
 def test_mix_without_a_broadcast_gives_the_same(spark, sf_dir, monkeypatch):
     broadcast = sorted(map(tuple, mixing.op8_mixing(spark, sf_dir).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, grouping, images, language, near_dup, toxicity, words
+from tidemark.llm import catalog, decontaminate, grouping, images, language, near_dup, toxicity, words
 from tidemark.runtime import table
 
 WORDS = {lang: [f"{a}{b}" for a in first for b in second] for lang, first, second in (("xx", ["tor", "mal", "ken", "vi", "das"], ["ing", "ed", "er", "al", "un", "os"]), ("yy", ["été", "quo", "rue", "lâ", "bon"], ["que", "eau", "ière", "ment", "oi", "é"]))}
@@ -374,6 +374,57 @@ def test_the_label_model_weighs_down_copied_voters():
     assert ((posterior > 0.5) == y).mean() > 0.88 > (majority == y).mean() + 0.15
 
 
+def test_tails_equal_sums_of_binomials():
+    from math import comb
+
+    a, n, p = np.array([0, 3, 5, 5, 40, 300, 2]), np.array([4, 3, 50, 50, 90, 900, 1000]), 0.13
+    expected = [sum(comb(int(m), k) * p**k * (1 - p) ** (int(m) - k) for k in range(int(x), int(m) + 1)) for x, m in zip(a, n, strict=True)]
+    assert np.allclose(toxicity.tails(a, n, p), expected, rtol=1e-6)
+
+
+def test_label_model_and_regression_equal_plain_python():
+    """The same estimates, written as loops over rows and voters."""
+    from math import exp, log
+
+    rng = np.random.default_rng(25)
+    truth = rng.random(60) < 0.4
+    votes = np.column_stack([np.where(rng.random(60) < 0.2, 0, np.where(rng.random(60) < q, truth, ~truth) * 2 - 1) for q in (0.9, 0.8, 0.6)] + [truth * 2 - 1]).astype(float)
+    n, m = votes.shape
+    y = [0.95 if votes[i][-1] > 0 else 0.05 for i in range(n)]
+    for _ in range(4):
+        ones = sum(y)
+        table = {(j, v): log((sum(y[i] for i in range(n) if votes[i][j] == v) + 0.5) / (ones + 1.5)) - log((sum(1 - y[i] for i in range(n) if votes[i][j] == v) + 0.5) / (n - ones + 1.5)) for j in range(m) for v in (-1, 0, 1)}
+        r = [[table[j, votes[i][j]] for j in range(m)] for i in range(n)]
+        mean = [[sum((1 - y[i] if c == 0 else y[i]) * r[i][j] for i in range(n)) / (n - ones if c == 0 else ones) for j in range(m)] for c in (0, 1)]
+        spread = np.array([[sum((1 - y[i]) * (r[i][j] - mean[0][j]) * (r[i][k] - mean[0][k]) + y[i] * (r[i][j] - mean[1][j]) * (r[i][k] - mean[1][k]) for i in range(n)) / n for k in range(m)] for j in range(m)])
+        w = np.clip(np.linalg.inv(spread + np.diag([0.05 * spread[j][j] + 0.05 for j in range(m)])) @ (np.array(mean[1]) - np.array(mean[0])), 0, 1)
+        y = [1 / (1 + exp(-max(-30, min(30, sum(w[j] * r[i][j] for j in range(m)) + log((ones / n) / (1 - ones / n)))))) for i in range(n)]
+    assert np.allclose(toxicity.label_model(votes, rounds=4), y)
+
+    hits = [np.flatnonzero(rng.random(4) < 0.4) for _ in range(60)]
+    x = np.zeros((60, 5))
+    for i, h in enumerate(hits):
+        x[i, h] = 1
+    x[:, 4] = 1
+    theta = np.array([0.0, 0, 0, 0, -2])
+    for _ in range(50):  # Newton's method
+        p = 1 / (1 + np.exp(-x @ theta))
+        decay = np.array([3e-3] * 4 + [0])
+        theta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / 60 + np.diag(decay + 1e-12), x.T @ (p - np.array(y)) / 60 + decay * theta)
+    weights, offset = toxicity.fit_linear(hits, np.array(y), 4, steps=4000, decay=3e-3)
+    assert np.allclose([*weights, offset], theta, atol=2e-2)
+
+
+def test_repeated_training_rows_and_long_texts(spark, labelled):
+    docs, labels, truth = labelled
+    long = spark.createDataFrame([(9000, "zibzab " + "word " * 100_000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text").where("doc_id < 300")).unionByName(long)
+    labels = labels.unionByName(labels.where("doc_id < 500")).unionByName(spark.createDataFrame([(9000, 1), (None, 1)], "doc_id long, toxic int"))
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, model).where("doc_id < 9000").collect()
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows]) > 0.95
+
+
 def test_toxicity_of_odd_rows_and_without_labels(spark, labelled):
     docs, labels, _ = labelled
     model = toxicity.train(docs, labels)
@@ -407,6 +458,35 @@ def test_ngrams_equal_plain_python():
     assert np.array_equal(np.sort(alone), np.sort(grams[of == 0]))
 
 
+def test_bayes_equals_plain_python(spark):
+    """Training and prediction with a dictionary of counts, text by text."""
+    from math import exp, log
+
+    rng = random.Random(26)
+    rows = [(k, prose(rng, rng.randrange(1, 30), lang), lang) for k, lang in enumerate(["xx", "yy", "yy"] * 15)] + [(90, None, "xx"), (91, "12 !", "xx"), (92, "torer été", None)]
+    rows += rows[:5] + [(93, "toring " * 20_000, "xx")]
+    buckets = 512
+    counts = {lang: [0.1] * buckets for lang in ("xx", "yy")}
+    for _, text, lang in rows:
+        if text and lang:
+            for g in language.ngrams(pa.array([text]), buckets)[0].tolist():
+                counts[lang][g] += 1
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), buckets=buckets)
+    texts = [t for _, t, _ in rows] + ["torkened viun", "bonque", "zzz"]
+    for text, got in zip(texts, language.predict(pa.array(texts), *model).to_pylist(), strict=True):
+        grams = language.ngrams(pa.array([text or ""]), buckets)[0].tolist()
+        sums = {lang: sum(log(c[g] / sum(c)) for g in grams) for lang, c in counts.items()} if len(grams) < 2000 else None
+        if not grams:
+            assert got == {"lang_pred": "und", "score": 0.0}
+        elif sums is not None:
+            best = max(sorted(sums), key=sums.get)
+            assert got["lang_pred"] == best and abs(got["score"] - 1 / sum(exp((s - sums[best]) / len(grams) ** 0.5) for s in sums.values())) < 1e-3
+        else:
+            assert got["lang_pred"] == "xx"
+    with pytest.raises(ValueError, match="languages"):
+        language.train(spark.range(language.MAX_LANGUAGES + 1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang")))
+
+
 def test_language_of_odd_rows(spark):
     rows = [(k, prose(random.Random(k), 20, lang), lang) for k, lang in enumerate(["xx", "yy"] * 20)] + [(100, None, "xx"), (101, "123 !!", None), (102, "", "zz"), (None, "torer maler", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -557,6 +637,60 @@ def test_vectors_as_images(spark):
     assert got[1].shape == (12, 12) and got[1].max() == 255 and got[2] is None and got[3].shape == (6, 6)
 
 
+# --- the registered queries --------------------------------------------------------------------------------------------
+
+CONTRACT = {
+    "op2_chat_formatting": ("conversations", "conv_id", {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"}),
+    "op3_warc_revisits": ("pages", "page_id", {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}),
+    "op4_toxicity": ("documents", "doc_id", {"doc_id", "held_out", "score", "predicted"}),
+    "op5_image_copies": ("embeddings", "vec_id", {"vec_id", "image_class", "group_id"}),
+    "op6_language_id": ("documents", "doc_id", {"doc_id", "held_out", "lang_pred", "score"}),
+    "op7_secret_scan": ("documents", "doc_id", {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}),
+    "op8_mixing": ("documents", "doc_id", {"doc_id", "size", "source_size", "target", "taken"}),
+    "op9_url_filter": ("pages", "page_id", {"page_id", "host", "path", "rule", "verdict"}),
+    "op10_near_dup": ("documents", "doc_id", {"doc_id", "text_class", "group_id"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_registered_query_answers_for_every_row(spark, sf_dir, name):
+    source, key, columns = CONTRACT[name]
+    got = catalog.queries()[name](spark, sf_dir)
+    assert columns <= set(got.columns)
+    ids = sorted(r[0] for r in table(spark, sf_dir, source).select(key).collect())
+    assert sorted(r[key] for r in got.select(key).collect()) == (sorted({*ids, -7}) if name.startswith("op2") else ids)
+
+
+def test_registered_scores_keep_their_contracts(spark, sf_dir):
+    import zlib
+
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, sf_dir, "labels").collect()}
+    for r in catalog.queries()["op4_toxicity"](spark, sf_dir).collect():
+        assert r["held_out"] == out(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+    assert labels
+    lang = {r["doc_id"]: r["lang"] for r in table(spark, sf_dir, "documents").collect()}
+    rows = catalog.queries()["op6_language_id"](spark, sf_dir).collect()
+    assert all(r["held_out"] == out(r["doc_id"]) and 0 <= r["score"] <= 1 for r in rows)
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"] and lang[r["doc_id"]]]) > 0.95
+
+
+def test_registered_decontamination_against_brute_force(spark, sf_dir):
+    """Every document and item: the six-word runs that they share, and LCS of whole texts."""
+    split = lambda t: words.word_hashes(pa.array([t or ""]))[0].tolist()
+    runs = lambda w: {tuple(w[k : k + 6]) for k in range(len(w) - 5)}
+    items = {r["item_id"]: split(r["text"]) for r in table(spark, sf_dir, "benchmark").collect()}
+    texts = {r["doc_id"]: split(r["text"]) for r in table(spark, sf_dir, "documents").collect()}
+    of_item = {k: runs(w) for k, w in items.items()}
+    planted = set()
+    for d, w in texts.items():
+        own = runs(w)
+        planted |= {(d, k) for k, r in of_item.items() if r and len(own & r) >= 0.5 * len(r)}
+    got = {(r["doc_id"], r["item_id"]) for r in catalog.queries()["op1_decontamination"](spark, sf_dir).collect()}
+    assert planted and planted <= got
+    assert all(decontaminate.lcs_length(items[k], texts[d]) >= decontaminate.LCS_PARAPHRASE * len(items[k]) for d, k in got)
+
+
 # --- the pipeline ----------------------------------------------------------------------------------------------------
 
 

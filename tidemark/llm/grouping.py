@@ -14,7 +14,8 @@ KEYS = ["band", "key"]
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the smallest node of the connected component.
 
-    Alternates large stars and small stars until nothing changes; every step is written to the shared folder.
+    Alternates large stars and small stars until all components are stars: every node but the centres has one edge, to a centre.
+    Every step is written to the shared folder.
     """
     from ..runtime import drop_scratch, scratch_path
 
@@ -27,7 +28,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         joined = rows.join(least, "a")
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
-    now, seen, before = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None, None
+    now, before = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
     while True:
         path = scratch_path(spark, "stars")
         step(step(now, True), False).write.parquet(path)
@@ -35,10 +36,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if before:
             drop_scratch(spark, before)
         before = path
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        seen = mark
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def meeting_rows(banded: DataFrame) -> DataFrame:

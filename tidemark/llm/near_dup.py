@@ -302,8 +302,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Copies collapse: one row per text. The keys of equal texts are equal.
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
     members = persist(spark, meeting_rows(nodes.select("node", F.posexplode("keys").alias("band", "key"))), "near-members")
-    # The items of the texts that meet any other, once each.
-    met = docs.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # The items of the texts that meet any other, each from the copy with the smallest id, so that copies don't meet in one task.
+    first = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").withColumnRenamed("node", "met")
+    met = docs.join(first, (F.col("node") == F.col("met")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("node").agg(F.first("text").alias("text"))
     sets = persist(spark, met.mapInArrow(_pack_items(shared), "node string, data binary"), "near-sets")
 
     compared = verify(leader_pairs(members, LEADERS), sets).where(F.col("similarity") >= threshold)

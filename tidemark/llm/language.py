@@ -31,6 +31,8 @@ BUCKETS = 1 << 15
 FEW = 1_000
 #: The matrix is broadcast, 128 KB a language; more languages than this are refused rather than dropped.
 MAX_LANGUAGES = 2_000
+#: Log probabilities that a task gathers at once.
+GATHERED = 1 << 20
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
@@ -123,8 +125,12 @@ def predict(texts: pa.Array, languages: list[str], matrix: np.ndarray) -> pa.Arr
         grams, of, has = ngrams(part, len(matrix))
         n = len(part)
         sums = np.zeros((n, len(languages)))
-        for k in range(len(languages)):
-            sums[:, k] = np.bincount(of, matrix[:, k][grams], n)
+        step = max(1024, GATHERED // max(len(languages), 1))
+        for lo in range(0, len(grams) if languages else 0, step):
+            # The n-grams of a text follow each other, so its rows of the matrix are one sum, for all languages at once.
+            own = of[lo : lo + step]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            np.add.at(sums, own[starts], np.add.reduceat(matrix[grams[lo : lo + step]], starts, axis=0, dtype=np.float64))
         has &= len(languages) > 0
         if languages:
             tempered = sums / np.sqrt(np.maximum(np.bincount(of, minlength=n), 1))[:, None]

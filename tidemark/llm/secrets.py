@@ -149,3 +149,30 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), to="found")
     counts = [F.size(F.expr(f"filter(found, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(span_list(F.col("found"), base_only=True), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that fixed patterns decide, which SQL can express."""
+    return op7_secret_scan(spark, sf_dir).drop("spans")
+
+
+def _matches_sql(kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of one kind: those before a match and the text between them make up its start."""
+    whole, own = f"regexp_extract_all(text, '{pattern}')", f"regexp_extract_all(text, '{pattern}', {group})"
+    return f"""SELECT doc_id, '{kind}' AS kind, begins + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS lo, length(found[k]) AS n, length(groups[k]) AS own
+  FROM (SELECT doc_id, found, groups, k, list_sum(list_transform(rest[1:k], lambda x: length(x))) AS begins
+        FROM (SELECT doc_id, {whole} AS found, {own} AS groups, regexp_split_to_array(text, '{pattern}') AS rest, unnest(range(1, len({whole}) + 1)) AS k FROM d)) WHERE own >= {least}"""
+
+
+#: Letters in either case, written out, as matching without case would also take letters beyond ASCII.
+_EITHER = {w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api")}
+_ASSIGN_SQL = f"({'|'.join([*list(_EITHER.values())[:4], _EITHER['api'] + '_?[Kk][Ee][Yy]'])})[\"'']? *[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)"
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_matches_sql("assign", _ASSIGN_SQL, 2, MIN_ASSIGNED)}
+UNION ALL {_matches_sql("access", "AKIA[A-Z0-9]{16,}", 0, MIN_ACCESS)}
+UNION ALL {_matches_sql("hex", "[0-9a-f]{24,}", 0, 24)}),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || lo || ':' || (lo + n), ',' ORDER BY lo, list_position(['assign', 'access', 'hex'], kind)) AS spans FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""

@@ -80,7 +80,9 @@ def number_key(x: Column) -> Column:
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -place), digits)
     plain = F.when(F.length(digits) <= place, F.rpad(digits, place, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), place), F.lit("."), tail(place)))
     text = F.when(F.length(led) == 0, F.lit("0")).when((e < EXPONENT_BELOW) | (e >= EXPONENT_FROM), scientific).when(place <= 0, small).otherwise(plain)
-    return F.when(F.isnan(x), F.lit("NaN")).otherwise(F.concat(sign, text))
+    # Whole numbers below the exponent's range, the usual case, need one cast; the other branch is not evaluated for them.
+    whole_number = (F.abs(x) < 10**EXPONENT_FROM) & (x == F.floor(x))
+    return F.when(F.isnan(x), F.lit("NaN")).when(whole_number, F.floor(x).cast("string")).otherwise(F.concat(sign, text))
 
 
 class VariantFields:
@@ -107,13 +109,14 @@ class VariantFields:
     def match(self, field: str, text: str) -> Column:
         if field == "_id":
             return F.lit(False)
+        # Values first: the kind, which takes longer to tell, is asked for the few that are equal.
         kind = self._kind(field)
-        found = (kind == "STRING") & (self._as(field, "string") == text)
+        found = (self._as(field, "string") == text) & (kind == "STRING")
         number = number_of(text)
         if number is not None:
-            found |= self._is_number(kind) & (self._as(field, "double") == number)
+            found |= (self._as(field, "double") == number) & self._is_number(kind)
         if text in ("true", "false"):
-            found |= (kind == "BOOLEAN") & (self._as(field, "boolean") == (text == "true"))
+            found |= (self._as(field, "boolean") == (text == "true")) & (kind == "BOOLEAN")
         if text == NULL_TEXT:
             found |= kind == "VOID"
         return F.coalesce(found, F.lit(False))

@@ -84,8 +84,10 @@ def divergent(answers: DataFrame, key: str = "key", value: str = "value", place:
     return answers.join(majority(answers, key, value, place).drop("votes"), key).where(~F.col(value).eqNullSafe(F.col("canonical")))
 
 
-def read_with_failover(owned: DataFrame, members: DataFrame, stored: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """For (key, owner, place) rows the value of the first alive owner that holds the key, not deleted; null where none does."""
+def read_with_failover(owned: DataFrame, members: DataFrame, stored: DataFrame, key: str = "key", value: str = "value", local: str | None = None) -> DataFrame:
+    """For (key, owner, place) rows the value of the first alive owner that holds the key, not deleted; null where none does. An owner named ``local`` is asked first."""
+    if local is not None:
+        owned = owned.withColumn("place", F.when(F.col("owner") == local, -1).otherwise(F.col("place")))
     held = split_by_liveness(owned, members).where(~F.col("parked")).join(stored.select(key, F.col("node_id").alias("owner"), value), [key, "owner"])
     first = held.groupBy(key).agg(F.min_by(F.struct("owner", value), "place").alias("first")).select(key, F.col("first.owner").alias("served_by"), F.col(f"first.{value}").alias(value))
     return owned.select(key).distinct().join(first, key, "left")

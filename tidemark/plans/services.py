@@ -17,7 +17,7 @@ from ..sources import wal
 from ..sources.json_documents import read_documents, write_documents
 from ..streaming.changes import drain_hints, index_stream, streaming_feed
 from ..types import TidemarkError
-from .catalog import _CRC, _E, _FANNED, _FOLD, _OWNED, FIELDS, RING, _ranked, _state, document_keys, event_documents, events, feed, members, order_keys, query, variant_documents
+from .catalog import _CRC, _E, _FANNED, _FOLD, _OWNED, _R, FIELDS, RING, _ranked, _state, answers, document_keys, event_documents, events, feed, members, order_keys, query, variant_documents
 
 
 def _rows(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
@@ -317,6 +317,14 @@ def hints_and_feed(spark, sf_dir):
     return changelog.fold(whole).select("key", "value", "version")
 
 
+@query("q79_local_read", f"WITH {_R} SELECT key, 'node-' || (arg_min(pos, CASE WHEN pos = 2 THEN -1 ELSE pos END) + 1) AS served_by, arg_min(value, CASE WHEN pos = 2 THEN -1 ELSE pos END) AS value FROM r WHERE pos <> 1 GROUP BY key")
+def local_read(spark, sf_dir):
+    """The third node asks itself first."""
+    stored = answers(spark, sf_dir).withColumn("node_id", F.concat(F.lit("node-"), (F.col("pos") + 1).cast("string")))
+    owned = stored.select("key", F.col("node_id").alias("owner"), F.col("pos").alias("place"))
+    return replication.read_with_failover(owned, members(spark), stored.select("key", "node_id", "value"), local="node-3").where(F.col("served_by").isNotNull())
+
+
 _NODE = "node_id string, address string, status string, last_heartbeat long, version string"
 
 

@@ -58,12 +58,12 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
         raise ValueError("weights must be above 0")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     weighed = ranked(sources).withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs)))
-    total, level, clamped = None, None, -1
+    level, clamped = None, -1
     while True:
         over = F.lit(False) if level is None else F.col("_cap") <= F.lit(level) * F.col("_w")
         now = weighed.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("_cap"))).alias("caps"), F.sum(F.when(~over, F.col("_w"))).alias("weights"), F.sum("source_size").alias("size")).first()
         total = float(share) * float(now["size"] or 0)
-        if now["n"] == clamped or not now["weights"]:
+        if now["n"] <= clamped or not now["weights"]:  # none more; fewer, if a cap equals its share but for rounding
             level = level if now["weights"] else None
             break
         level, clamped = (total - (now["caps"] or 0.0)) / now["weights"], now["n"]

@@ -49,16 +49,18 @@ def meeting_rows(banded: DataFrame) -> DataFrame:
     return members.join(weights, "node").select(*KEYS, "node", "order", "n")
 
 
-def leader_pairs(members: DataFrame, leaders: int, votes: int = 1) -> DataFrame:
-    """Distinct pairs (node, leader) of members (see ``meeting_rows``) and their buckets' first ``leaders`` nodes by order, those that meet at least ``votes`` times.
+def leader_pairs(spark: SparkSession, members: DataFrame, leaders: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (node, leader) of members (see ``meeting_rows``) and their buckets' first ``leaders`` nodes by order; and the written leaders, to discard.
 
     In buckets of up to ``leaders`` + 1 nodes these are all pairs; in larger ones ``leaders`` rows a member, so their number
-    is in proportion to the members. Leaders are found by a rank that Spark limits before it shuffles, and a hot bucket's rows
-    are split in the join.
+    is in proportion to the members. Leaders are found by a rank that Spark limits before it shuffles; they are written, so that
+    the join has a shuffle of its own on both sides and Spark can split a hot bucket's rows there.
     """
+    from ..runtime import persist
+
     ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy("order"))).where(F.col("rank") <= leaders)
-    meeting = members.join(ranked.select(*KEYS, F.col("node").alias("leader"), F.col("order").alias("leader_order")), KEYS).where("order > leader_order")
-    return meeting.groupBy("node", "leader").agg(F.count("*").alias("met")).where(F.col("met") >= votes).select("node", "leader")
+    ranked = persist(spark, ranked.select(*KEYS, F.col("node").alias("leader"), F.col("order").alias("leader_order")), f"{label}-leaders")
+    return members.join(ranked, KEYS).where("order > leader_order").select("node", "leader").distinct(), ranked
 
 
 def across_components(spark: SparkSession, members: DataFrame, roots: DataFrame, payload: DataFrame, compare: Callable[[DataFrame], DataFrame], most: int, block: int, label: str) -> DataFrame:
@@ -80,6 +82,7 @@ def across_components(spark: SparkSession, members: DataFrame, roots: DataFrame,
     rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = rooted.groupBy(*KEYS, "root").agg(F.count("*").alias("of_root"))
     mixed = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("of_root", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    mixed = persist(spark, mixed, f"{label}-mixed")  # so that a hot bucket's rows can be split in the next join
     dealt = rooted.join(mixed, KEYS).select(*KEYS, "node", "root", (F.col("root") == F.col("largest")).alias("main"), F.expr(f"pmod(xxhash64(node), cast(ceil(n / {block}) as long))").alias("block"))
     dealt = persist(spark, dealt, f"{label}-dealt")
     blocks = dealt.join(payload, "node").groupBy(*KEYS, "main", "block").agg(F.collect_list(F.struct("node", "root", "data")).alias("members"))
@@ -87,7 +90,7 @@ def across_components(spark: SparkSession, members: DataFrame, roots: DataFrame,
     others = blocks.select(*KEYS, F.col("main").alias("other_main"), F.col("block").alias("other"), F.col("members").alias("others"))
     meeting = blocks.where("NOT main").join(others, KEYS).where("other_main OR block <= other")
     found = persist(spark, compare(meeting.select(*KEYS, (~F.col("other_main") & (F.col("block") == F.col("other"))).alias("same"), "members", "others")), f"{label}-across")
-    discard(dealt, blocks)
+    discard(mixed, dealt, blocks)
     return found
 
 

@@ -310,7 +310,7 @@ def image_copies(images: DataFrame, threshold: float = THRESHOLD, key_bits: int
     members = persist(spark, meeting_rows(banded), "image-members")
     points = described.select("node", "data")
 
-    pairs = leader_pairs(members, LEADERS)
+    pairs, leaders = leader_pairs(spark, members, LEADERS, "image")
     joined = pairs.join(points, "node").join(points.select(F.col("node").alias("leader"), F.col("data").alias("leader_data")), "leader")
     compared = joined.select("node", "leader", "data", "leader_data").mapInArrow(_consensus_batches, "node long, leader long, similarity double").where(F.col("similarity") >= threshold)
     similar = persist(spark, compared.select(F.col("node").alias("a"), F.col("leader").alias("b")), "image-pairs")
@@ -320,7 +320,7 @@ def image_copies(images: DataFrame, threshold: float = THRESHOLD, key_bits: int
     if not links.isEmpty():
         before, roots = roots, persist(spark, merge_components(spark, roots, links), "image-roots")
         discard(before)
-    discard(described, members, similar, links)
+    discard(described, members, leaders, similar, links)
     named = classes.select("digest", "node", "image_class").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("image_class").alias("group_id")), "root").select("digest", "image_class", "group_id")
     return own.select("image_id", "digest").join(named, "digest").select("image_id", "image_class", "group_id")

@@ -307,7 +307,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = docs.join(first, (F.col("node") == F.col("met")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("node").agg(F.first("text").alias("text"))
     sets = persist(spark, met.mapInArrow(_pack_items(shared), "node string, data binary"), "near-sets")
 
-    compared = verify(leader_pairs(members, LEADERS), sets).where(F.col("similarity") >= threshold)
+    pairs, leaders = leader_pairs(spark, members, LEADERS, "near")
+    compared = verify(pairs, sets).where(F.col("similarity") >= threshold)
     similar = persist(spark, compared.select(F.col("node").alias("a"), F.col("leader").alias("b")), "near-pairs")
     roots = persist(spark, components(spark, similar), "near-roots")
     across = lambda meeting: meeting.mapInArrow(_links_of_blocks(threshold), "a string, b string")
@@ -315,7 +316,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not links.isEmpty():
         before, roots = roots, persist(spark, merge_components(spark, roots, links), "near-roots")
         discard(before)
-    discard(members, sets, similar, links)
+    discard(members, leaders, sets, similar, links)
 
     groups = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = groups.join(groups.groupBy("root").agg(F.min("first_id").alias("group_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept")), "root")

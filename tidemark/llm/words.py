@@ -7,6 +7,7 @@ than a block is a block of its own, so no text is ever cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,18 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside the executor and under one limit with it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of a string array with at most ``limit`` bytes each, or one text; null is empty. Yields (first row, slice)."""
+    """Slices of a string array with at most ``limit`` bytes each, or one text; null is empty. Yields (first row, slice); freed memory is given back after the last."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts, "")
@@ -54,6 +65,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.
         to = max(row + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield row, texts.slice(row, to - row)
         row = to
+    give_back()
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -209,6 +209,21 @@ def test_components_equal_union_find(spark):
         assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_links_within_a_crowd_are_not_carried_along(spark, monkeypatch):
+    crowd = [(a, b) for c in (0, 100) for a in range(c, c + 40) for b in range(c, a)] + [(500 + k, 501 + k) for k in range(20)]
+    random.Random(3).shuffle(crowd)
+    edges = spark.createDataFrame(crowd, "a long, b long")
+    expected = {x: 0 if x < 100 else 100 if x < 500 else 500 for pair in crowd for x in pair}
+    stars, _ = grouping.local_stars(spark, edges)
+    assert stars.count() == len(expected) - 3
+    assert {r["node"]: r["root"] for r in grouping.components(spark, edges).collect()} == expected
+    monkeypatch.setattr(grouping, "EDGES_PER_TASK", 300)  # several parts, and so steps in Spark after them
+    stars, parts = grouping.local_stars(spark, edges)
+    assert parts > 3 and stars.count() < len(crowd)
+    rows = grouping.components(spark, edges).collect()
+    assert len(rows) == len(expected) and {r["node"]: r["root"] for r in rows} == expected
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 

@@ -2,22 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ["band", "key"]
+#: Edges that a task replaces by stars at a time; it holds their nodes in memory.
+EDGES_PER_TASK = 200_000
+
+
+def _stars(most: int):
+    """Of each ``most`` edges (a, b) of a task one for each node but the smallest of what they link: to that smallest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        seen, kind = 0, None
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        def made() -> Iterator[pa.RecordBatch]:
+            nodes = [x for x in parent if parent[x] != x]
+            for lo in range(0, len(nodes), 10_000):
+                own = nodes[lo : lo + 10_000]
+                yield pa.record_batch([pa.array(own, kind), pa.array([root(x) for x in own], kind)], names=["a", "b"])
+            parent.clear()
+
+        for batch in batches:
+            if seen + len(batch) > most:
+                yield from made()
+                seen = 0
+            seen, kind = seen + len(batch), batch.schema.field("a").type
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        yield from made()
+
+    return run
+
+
+def local_stars(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (a, b) that link the same nodes as ``edges``, written, and how many times ``EDGES_PER_TASK`` the edges were.
+
+    A crowd of near copies comes with many links a member. Tasks replace ``EDGES_PER_TASK`` of them at a time by stars, of at most one edge a
+    node, so that the steps in Spark that follow work on about the nodes and not on all links.
+    """
+    from ..runtime import discard, persist, ship
+
+    ship(spark)
+    edges = persist(spark, edges.where("a != b").select("a", "b"), "edges")
+    tasks = max(1, -(-edges.count() // EDGES_PER_TASK))
+    stars = persist(spark, edges.coalesce(tasks).mapInArrow(_stars(EDGES_PER_TASK), edges.schema), "stars")
+    discard(edges)
+    return stars, tasks
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the smallest node of the connected component.
 
-    Alternates large stars and small stars until all components are stars: every node but the centres has one edge, to a centre.
-    Every step is written to the shared folder.
+    Edges are first replaced by stars (``local_stars``); where these are not of all edges at once, large stars and small stars alternate
+    until all components are stars: every node but the centres has one edge, to a centre. Every step is written to the shared folder.
     """
-    from ..runtime import drop_scratch, scratch_path
+    from ..runtime import discard, persist
 
     def step(rows: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -28,17 +81,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         joined = rows.join(least, "a")
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
-    now, before = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
-    while True:
-        path = scratch_path(spark, "stars")
-        step(step(now, True), False).write.parquet(path)
-        now = spark.read.schema(now.schema).parquet(path)
-        if before:
-            drop_scratch(spark, before)
-        before = path
-        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    def done(rows: DataFrame) -> bool:
+        ends = rows.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(rows.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+    now, tasks = local_stars(spark, edges)
+    while tasks > 1 and not done(now):
+        before, now = now, persist(spark, step(step(now, True), False), "stars")
+        discard(before)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def meeting_rows(banded: DataFrame) -> DataFrame:

@@ -328,6 +328,19 @@ def test_fit_takes_a_text_once(spark):
     assert many.vectors.shape == once.vectors.shape and np.isfinite(many.turn).all() and np.isfinite(cosine(many.vectors, once.vectors)).all()
 
 
+def test_fit_takes_all_texts(spark):
+    """Mean and IDF against brute force over more texts than a sample of round 2 took."""
+    rng = random.Random(21)
+    texts = [f"{prose(rng, 9)} w{k}" for k in range(20_000)] + ["copied line"] * 500
+    space = decontaminate.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    hashes, bounds = words.word_hashes(pa.array(texts))
+    of, word = np.repeat(np.arange(len(texts)), np.diff(bounds)), decontaminate._bucket(hashes)
+    df = np.bincount(np.unique(of * decontaminate.BUCKETS + word) % decontaminate.BUCKETS, minlength=decontaminate.BUCKETS)
+    assert np.allclose(space.idf, np.log((len(texts) + 1) / (df + 1)), atol=1e-5)
+    v = np.add.reduceat(space.vectors[word], bounds[:-1], axis=0)[:20_001].astype(np.float64)
+    assert np.allclose(space.mean, (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)).mean(0), atol=2e-5)
+
+
 def test_decontamination_of_odd_documents(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
     long = "filler " * 60_000 + item + " filler" * 60_000

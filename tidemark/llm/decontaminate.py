@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequences and answer checks.
 
-Fit. Document frequencies of hashed words are counted over all documents. Passages of ``PASSAGE`` words of a bounded sample
-(about ``FIT_ROWS`` different texts, by a hash of the text, each once however often it occurs) form a TF-IDF matrix A; its right singular vectors come from a distributed
+Fit. Every different text is written once, as the buckets of its hashed words, with the number of its copies. Document frequencies are counted
+over all documents. The passages of ``PASSAGE`` words of all different texts (each once however often it occurs) form a TF-IDF matrix A;
+its right singular vectors come from a distributed
 randomised SVD in one pass: tasks sum A'A times a random test matrix, and the driver solves the small problem. Word
-vectors are the rows of the singular vectors, scaled to the word's IDF; a second pass over the sample takes mean and covariance
-of the passages' vectors, and the search uses the whitened space, in which unrelated passages are far apart.
+vectors are the rows of the singular vectors, scaled to the word's IDF; a second pass over the same passages takes mean and covariance
+of their vectors, and the search uses the whitened space, in which unrelated passages are far apart.
 
 Search. Every document is covered by overlapping windows of lengths 16, 32 and 64 words, and every benchmark piece (at most 64 words) is
 compared by cosine with the windows of its length class. Candidates must share some of the piece's IDF. Both bounds lie so low that of
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import blocks, word_hashes
+from .words import blocks, give_back, raw_bytes, word_hashes
 
 BUCKETS = 1 << 15
 RANK, EXTRA, DROPPED = 64, 12, 4
 PASSAGE = 64
-FIT_ROWS = 15_000
+#: Words and passages that a task handles at a time.
+WORDS_AT_ONCE, PASSAGES = 1 << 18, 256
 SEGMENT = 4
 CLASSES = (16, 32, 64)
 COSINE = 0.35
@@ -51,37 +53,82 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets of each text's words, two bytes each."""
+    for batch in batches:
+        for row, part in blocks(batch.column("text")):
+            hashes, bounds = word_hashes(part)
+            words = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(_bucket(hashes).astype("<u2"))])
+            yield pa.record_batch([batch.column("hash").slice(row, len(part)), words], names=["hash", "words"])
+
+
+def _packed(batch: pa.RecordBatch, most: int = WORDS_AT_ONCE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, buckets, bounds of the rows) of slices of about ``most`` words, or one row."""
+    data, offsets = raw_bytes(batch.column("words"))
+    data, bounds = data.view("<u2"), offsets // 2
+    row = 0
+    while row < batch.num_rows:
+        to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + most, "right")) - 1)
+        yield row, data[bounds[row] : bounds[to]], bounds[row : to + 1] - bounds[row]
+        row = to
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        for _, part in blocks(batch.column(0)):
-            hashes, bounds = word_hashes(part)
-            of = np.repeat(np.arange(len(part)), np.diff(bounds))
-            pairs = of * BUCKETS + _bucket(hashes)
-            pairs = np.sort(pairs.astype(np.uint32) if len(part) * BUCKETS <= 1 << 32 else pairs)
-            once = pairs[np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))] if len(pairs) else pairs
-            total += np.bincount((once & (BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            n += len(part)
+        times = batch.column("n").to_numpy()
+        n += int(times.sum())
+        for row, word, bounds in _packed(batch):
+            pairs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * BUCKETS + word
+            pairs = np.sort(pairs.astype(np.uint32) if len(bounds) * BUCKETS <= 1 << 32 else pairs)
+            once = pairs[np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))].astype(np.int64) if len(pairs) else pairs.astype(np.int64)
+            total += np.bincount(once & (BUCKETS - 1), times[row + once // BUCKETS], BUCKETS).astype(np.int64)
+    give_back()
     yield pa.record_batch([pa.array([-1, *range(BUCKETS)], pa.int64()), pa.array([n, *total], pa.int64())], names=["cell", "n"])
 
 
-def word_weights(texts: DataFrame) -> np.ndarray:
-    """Inverse document frequency of every bucket, over all rows of ``texts`` (one string column)."""
-    counts = texts.mapInArrow(_count_words, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+def word_weights(packed: DataFrame) -> np.ndarray:
+    """Inverse document frequency of every bucket, over the texts of ``packed`` (words, n), each as often as ``n`` says."""
+    counts = packed.select("words", "n").mapInArrow(_count_words, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(BUCKETS + 1)
     table[counts["cell"].to_numpy()] = counts["n"].to_numpy()
     return np.log((table[-1] + 1) / (table[:-1] + 1)).astype(np.float32)
 
 
-def _passages(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each passage, and the passage of each word."""
-    at = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    first = np.flatnonzero(at % PASSAGE == 0)
-    return first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Word counts of up to PASSAGES passages at a time: (passage, bucket, count, number of passages), by passage and bucket."""
+    for batch in batches:
+        for _, word, bounds in _packed(batch):
+            at = np.arange(len(word)) - np.repeat(bounds[:-1], np.diff(bounds))
+            starts = np.append(np.flatnonzero(at % PASSAGE == 0), len(word))
+            for lo in range(0, len(starts) - 1, PASSAGES):
+                cuts = starts[lo : lo + PASSAGES + 1]
+                of = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint32), np.diff(cuts))
+                cells = np.sort(of * np.uint32(BUCKETS) + word[cuts[0] : cuts[-1]])
+                first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+                cells = cells[first].astype(np.int64)
+                yield cells // BUCKETS, cells % BUCKETS, np.diff(np.append(first, cuts[-1] - cuts[0])), len(cuts) - 1
+    give_back()
+
+
+def _dense(of: np.ndarray, word: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur, and a matrix of passages by these."""
+    there = np.zeros(BUCKETS, bool)
+    there[word] = True
+    used = np.flatnonzero(there)
+    place = np.zeros(BUCKETS, np.int64)
+    place[used] = np.arange(len(used))
+    out = np.zeros((n, len(used)), np.float32)
+    out[of, place[word]] = values
+    return used, out
 
 
 def _test_matrix() -> np.ndarray:
-    return np.random.default_rng(11).standard_normal((BUCKETS, RANK + EXTRA)).astype(np.float32)
+    rng = np.random.default_rng(11)
+    out = np.empty((BUCKETS, RANK + EXTRA), np.float32)
+    for lo in range(0, BUCKETS, 4096):
+        out[lo : lo + 4096] = rng.standard_normal((4096, RANK + EXTRA))
+    return out
 
 
 def _project(shared):
@@ -90,23 +137,12 @@ def _project(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, test = shared.value, _test_matrix()
         total = np.zeros(test.shape)
-        for batch in batches:
-            for _, part in blocks(batch.column(0), 1 << 18):
-                hashes, bounds = word_hashes(part)
-                if not len(hashes):
-                    continue
-                first, of = _passages(hashes, bounds)
-                word = _bucket(hashes)
-                cells, word_of = np.unique(of * BUCKETS + word, return_inverse=True)
-                of, word = cells // BUCKETS, cells % BUCKETS
-                x = (1 + np.log(np.bincount(word_of))).astype(np.float32) * idf[word]
-                starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                x /= (np.sqrt(np.add.reduceat(x * x, starts)) + 1e-6)[of]
-                z = np.add.reduceat(test[word] * x[:, None], starts, axis=0)
-                order = np.argsort(word, kind="stable")
-                of, word, x = of[order], word[order], x[order]
-                starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                total[word[starts]] += np.add.reduceat(z[of] * x[:, None], starts, axis=0)
+        for of, word, counts, n in _passages(batches):
+            x = (1 + np.log(counts)).astype(np.float32) * idf[word]
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            x /= (np.sqrt(np.add.reduceat(x * x, starts)) + 1e-6)[of]
+            used, x = _dense(of, word, x, n)
+            total[used] += x.T @ (x @ test[used])
         some = np.flatnonzero(np.abs(total).sum(1))
         for lo in range(0, len(some), 4096):
             at = some[lo : lo + 4096]
@@ -123,16 +159,13 @@ def _moments(shared):
         rank = vectors.shape[1]
         total = np.zeros((rank + 1, rank))
         n = 0
-        for batch in batches:
-            for _, part in blocks(batch.column(0), 1 << 18):
-                hashes, bounds = word_hashes(part)
-                if not len(hashes):
-                    continue
-                v = np.add.reduceat(vectors[_bucket(hashes)], _passages(hashes, bounds)[0], axis=0).astype(np.float64)
-                v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
-                total[0] += v.sum(0)
-                total[1:] += v.T @ v
-                n += len(v)
+        for of, word, counts, passages in _passages(batches):
+            used, x = _dense(of, word, counts, passages)
+            v = (x @ vectors[used]).astype(np.float64)
+            v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
+            total[0] += v.sum(0)
+            total[1:] += v.T @ v
+            n += passages
         flat = np.rint(np.append(total.ravel(), n) * 2**20).astype(np.int64)
         yield pa.record_batch([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "n"])
 
@@ -155,29 +188,40 @@ class Space:
         return (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
 
-def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> Space:
-    """The latent space of ``docs``."""
+def fit(docs: DataFrame, text: str = "text", fit_rows: int | None = None) -> Space:
+    """The latent space of all texts of ``docs``; of about ``fit_rows`` different ones where a bound is given."""
     from ..runtime import discard, persist, ship
 
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    idf = word_weights(texts)
-    # Of different texts, so that one that stands on many rows is drawn once or not at all.
-    n = texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
-    share = min(1.0, fit_rows / max(n, 1))
-    drawn = texts.withColumn("hash", F.xxhash64("text")).where(F.pmod(F.col("hash"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    sample = persist(spark, drawn.groupBy("hash").agg(F.first("text").alias("text")).select("text"), "decontaminate-sample")
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("text").alias("hash"), "text")
+    # Each text once, with the number of its copies: a task's copies meet before the shuffle.
+    packed = texts.mapInArrow(_pack_words, "hash long, words binary").groupBy("hash").agg(F.first("words").alias("words"), F.count("*").alias("n"))
+    packed = persist(spark, packed, "decontaminate-words")
+    idf = word_weights(packed)
+    used = packed
+    if fit_rows is not None:
+        used = packed.where(F.pmod(F.col("hash"), F.lit(1_000_003)) < int(min(1.0, fit_rows / max(packed.count(), 1)) * 1_000_003) + 1)
     width = RANK + EXTRA
     weights = spark.sparkContext.broadcast(idf)
-    rows = sample.mapInArrow(_project(weights), ", ".join(["cell long", *[f"y{k} long" for k in range(width)]]))
+    rows = used.select("words").mapInArrow(_project(weights), ", ".join(["cell long", *[f"y{k} long" for k in range(width)]]))
     rows = rows.groupBy("cell").agg(*[F.sum(f"y{k}").alias(f"y{k}") for k in range(width)]).toArrow()
     y = np.zeros((BUCKETS, width))
-    y[rows["cell"].to_numpy()] = np.stack([rows[f"y{k}"].to_numpy() for k in range(width)], 1) / 2**24
+    cell = rows["cell"].to_numpy()
+    for k in range(width):
+        y[cell, k] = rows[f"y{k}"].to_numpy() / 2**24
+    del rows
     vectors = _singular_vectors(y)
-    vectors = (vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9) * idf[:, None]).astype(np.float32)
-    sums = sample.mapInArrow(_moments(spark.sparkContext.broadcast(vectors)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    discard(sample)
+    del y
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9
+    vectors *= idf[:, None]
+    vectors = vectors.astype(np.float32)
+    shared = spark.sparkContext.broadcast(vectors)
+    sums = used.select("words").mapInArrow(_moments(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    discard(packed)
+    weights.destroy()
+    shared.destroy()
+    give_back()
     rank = vectors.shape[1]
     flat = np.zeros((rank + 1) * rank + 1)
     flat[sums["cell"].to_numpy()] = sums["n"].to_numpy() / 2**20
@@ -188,15 +232,25 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> Space:
 
 
 def _singular_vectors(y: np.ndarray) -> np.ndarray:
-    """Right singular vectors from one product of A'A with the test matrix (Nystrom's method), but the first few, each over its singular value."""
-    test = _test_matrix().astype(np.float64)
+    """Right singular vectors from one product of A'A with the test matrix (Nystrom's method), but the first few, each over its singular value.
+
+    ``y`` is overwritten, part by part, and the vectors come from its small Gram matrix, so that the driver holds little besides it.
+    """
+    test = _test_matrix()
     shift = 1e-6 * (np.linalg.norm(y) + 1e-9)
-    y = y + shift * test
-    core = test.T @ y
+    parts = [slice(lo, lo + 4096) for lo in range(0, len(y), 4096)]
+    core = np.zeros((y.shape[1], y.shape[1]))
+    for at in parts:
+        own = test[at].astype(np.float64)
+        y[at] += shift * own
+        core += own.T @ y[at]
     core = (core + core.T) / 2
     lower = np.linalg.cholesky(core + 1e-9 * max(np.trace(core), 1e-9) * np.eye(len(core)))
-    u, s, _ = np.linalg.svd(np.linalg.solve(lower, y.T).T, full_matrices=False)
-    return u[:, DROPPED:RANK] / np.maximum(s, 1e-3 * s[0])[DROPPED:RANK]
+    for at in parts:
+        y[at] = np.linalg.solve(lower, y[at].T).T
+    square, turn = np.linalg.eigh(y.T @ y)
+    s = np.sqrt(np.maximum(square[::-1], 1e-300))
+    return y @ (turn[:, ::-1] / s / np.maximum(s, 1e-3 * s[0]))[:, DROPPED:RANK]
 
 
 def lcs_length(a: list, b: list) -> int:

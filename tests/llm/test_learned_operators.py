@@ -1,5 +1,6 @@
 """Operators with models: brute force on small inputs, held-out accuracy, odd rows, empty tables."""
 
+import math
 import random
 
 import numpy as np
@@ -410,6 +411,27 @@ def test_tails_equal_sums_of_binomials():
     assert np.allclose(toxicity.tails(a, n, p), expected, rtol=1e-6)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """More rows than a sample of round 2 took; rows counted once with their number give what single rows give."""
+    rng = random.Random(12)
+    rows = [(k, f"w{k} " + prose(rng, 8), int(k % 1000 == 0)) for k in range(32_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    taken = toxicity.training_rows(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert taken.count() > 31_900 and taken.where("toxic = 1").count() == 32
+    votes = np.array([[rng.choice([-1, 0, 1]) for _ in range(3)] for _ in range(6)], np.float64)
+    votes[:3, 2], votes[3:, 2] = 1, -1
+    times = np.array([4, 1, 3, 5, 2, 7])
+    y = toxicity.label_model(votes, times=times.astype(np.float64))
+    assert np.allclose(np.repeat(y, times), toxicity.label_model(np.repeat(votes, times, axis=0)))
+    hits = [np.flatnonzero(v > 0) for v in votes]
+    one = toxicity.fit_linear(hits, y, 3, times=times.astype(np.float64))
+    each = toxicity.fit_linear([h for h, n in zip(hits, times, strict=True) for _ in range(n)], np.repeat(y, times), 3)
+    assert np.allclose(one[0], each[0]) and np.isclose(one[1], each[1])
+    for a, n in ((60_300, 500_000), (59_000, 500_000), (300, 1_000), (5, 3_000)):
+        whole = sum(np.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * np.log(0.12) + (n - k) * np.log(0.88)) for k in range(a, min(n, a + 40_000) + 1))
+        assert np.isclose(toxicity.tails(np.array([a]), np.array([n]), 0.12)[0], whole, rtol=1e-6)
+
+
 def test_label_model_and_regression_equal_plain_python():
     """The same estimates, written as loops over rows and voters."""
     from math import exp, log

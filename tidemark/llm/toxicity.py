@@ -1,7 +1,6 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. A bounded, seeded sample of labelled rows is drawn (``train_rows``; below it,
-   all), one of each group of near copies, so that copies don't count twice.
+1. All labelled rows are taken, one of each group of near copies, so that copies don't count twice.
 2. Lexicons are induced from it: words and word beginnings whose document counts
    among toxic rows are far from chance (a binomial tail). They are dealt to
    lexicon voters by kind and rank; pattern voters look at the number of hits,
@@ -13,8 +12,8 @@
 4. A logistic regression is fitted to the posterior, over the presence of the
    lexicons' entries and of each kind of them; only its weights are broadcast, and whole texts are scored.
 
-All counting and voting runs on the executors; the driver gets counts of
-candidate entries, votes and hits of the sample, which its bound limits.
+All counting and voting runs on the executors; the driver gets counts of candidate entries, and every different combination of label, hits
+and votes with the number of its rows. Most rows have no hit and are one combination; the others grow with the labelled rows that have hits.
 
 Defined cases: a null text is empty; an empty text, or one without hits, gets
 the base score; rows of ``labels`` without label or id are ignored, of several
@@ -37,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .words import blocks, shingle_hashes, word_hashes
 
-TRAIN_ROWS = 30_000
+#: Labelled ids that are broadcast at most (about 50 bytes each); of more, documents and labels are shuffled.
+BROADCAST_IDS = 1_000_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Share of entries that may be there by chance (Benjamini and Hochberg).
 FALSE_ENTRIES = 0.01
@@ -122,21 +122,17 @@ def _near_copy_key(texts: pa.Array) -> pa.Array:
     return pa.array(keys, pa.int64())
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """text and toxic of about ``train_rows`` labelled rows at most, one for each near-copy key, materialised.
-
-    The chosen ids are broadcast: about ``train_rows`` of 16 bytes each.
-    """
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text and toxic of all labelled rows, one for each near-copy key, materialised."""
     from ..runtime import persist
 
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    n = labels.count()
-    if n > train_rows:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(train_rows / n * 1_000_003))
+    if labels.count() <= BROADCAST_IDS:
+        labels = F.broadcast(labels)
     key = F.arrow_udf(_near_copy_key, "long")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id")
     rows = rows.withColumn("key", key("text")).groupBy("key", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row"))
-    return persist(docs.sparkSession, rows.select("row.text", "toxic"), "toxicity-sample")
+    return persist(docs.sparkSession, rows.select("row.text", "toxic"), "toxicity-rows")
 
 
 def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,27 +157,31 @@ def _clean_counts(candidates: np.ndarray):
 
 
 def tails(a: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """The chance of at least a of n, each with chance p: sums of binomial terms, one for each distinct (a, n)."""
+    """The chance of at least a of n, each with chance p: sums of binomial terms, one for each distinct (a, n).
+
+    Terms more than 40 standard deviations and 200 from the mean or from a are below what a double resolves, and are left out.
+    """
     most = int(n.max(initial=0))
     logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
     pairs, which = np.unique(np.stack([a, n], 1), axis=0, return_inverse=True)
     out = np.empty(len(pairs))
     for row, (x, total) in enumerate(pairs.tolist()):
-        k = np.arange(x, total + 1)
+        far = int(40 * (total * p * (1 - p)) ** 0.5) + 200
+        k = np.arange(max(x, int(total * p) - far), min(total, max(x, int(total * p)) + far) + 1)
         terms = logs[total] - logs[k] - logs[total - k] + k * log(p) + (total - k) * log(1 - p)
         top = terms.max()
         out[row] = min(1.0, np.exp(top) * np.exp(terms - top).sum())
     return out[which.ravel()]
 
 
-def induce(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
+def induce(rows: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     """Entries that are far more frequent in toxic rows than chance, the least likely ones first."""
-    toxic = sample.where("toxic = 1").select("text").mapInArrow(_toxic_counts, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    toxic = rows.where("toxic = 1").select("text").mapInArrow(_toxic_counts, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     found = toxic.where(F.col("n") >= MIN_TOXIC).toArrow()
     hashes, a = found["entry"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(hashes)
     hashes, a = hashes[order], a[order]
-    rest = sample.where("toxic = 0").select("text").mapInArrow(_clean_counts(hashes), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+    rest = rows.where("toxic = 0").select("text").mapInArrow(_clean_counts(hashes), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
     b = np.zeros(len(hashes), np.int64)
     b[np.searchsorted(hashes, rest["entry"].to_numpy().view(np.uint64))] = rest["n"].to_numpy()
     p = n_toxic / (n_toxic + n_clean)
@@ -211,30 +211,34 @@ def _hits_and_votes(lexicon: Lexicon):
     return run
 
 
-def label_model(votes: np.ndarray, rounds: int = 10) -> np.ndarray:
-    """Posterior of the latent label. The last column of ``votes`` is the given label, which starts the estimate.
+def label_model(votes: np.ndarray, rounds: int = 10, times: np.ndarray | None = None) -> np.ndarray:
+    """Posterior of the latent label. The last column of ``votes`` is the given label, which starts the estimate; a row stands for ``times`` rows.
 
     Each round estimates P(vote | label) of every voter, turns votes into log
     likelihood ratios, and weighs these by the inverse of their covariance
     within the classes, so that voters that err together count less.
     """
     y = np.where(votes[:, -1] > 0, 0.95, 0.05)
+    times = np.ones(len(votes)) if times is None else times
     for _ in range(rounds):
         ratios = np.zeros(votes.shape)
+        yes, no = times * y, times * (1 - y)
         for v in (-1, 0, 1):
             is_v = votes == v
-            ratios += is_v * (np.log(((is_v * y[:, None]).sum(0) + 0.5) / (y.sum() + 1.5)) - np.log(((is_v * (1 - y)[:, None]).sum(0) + 0.5) / ((1 - y).sum() + 1.5)))
-        means = [(ratios * w[:, None]).sum(0) / w.sum() for w in (1 - y, y)]
-        spread = sum(((ratios - m) * w[:, None]).T @ (ratios - m) for m, w in zip(means, (1 - y, y), strict=True)) / len(y)
+            ratios += is_v * (np.log(((is_v * yes[:, None]).sum(0) + 0.5) / (yes.sum() + 1.5)) - np.log(((is_v * no[:, None]).sum(0) + 0.5) / (no.sum() + 1.5)))
+        means = [(ratios * w[:, None]).sum(0) / w.sum() for w in (no, yes)]
+        spread = sum(((ratios - m) * w[:, None]).T @ (ratios - m) for m, w in zip(means, (no, yes), strict=True)) / times.sum()
         ridge = np.diag(0.05 * np.diag(spread) + 0.05)
         weights = np.clip(np.linalg.solve(spread + ridge, means[1] - means[0]), 0.0, 1.0)
-        prior = log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6))
+        share = yes.sum() / times.sum()
+        prior = log(max(share, 1e-6) / max(1 - share, 1e-6))
         y = 1 / (1 + np.exp(-np.clip(ratios @ weights + prior, -30, 30)))
     return y
 
 
-def fit_linear(hits: list[np.ndarray], y: np.ndarray, n_inputs: int, steps: int = 500, decay: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic regression on the presence of inputs, for soft labels."""
+def fit_linear(hits: list[np.ndarray], y: np.ndarray, n_inputs: int, steps: int = 500, decay: float = 3e-5, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic regression on the presence of inputs, for soft labels; a row stands for ``times`` rows."""
+    share = np.full(len(y), 1 / len(y)) if times is None else times / times.sum()
     of = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     at = np.concatenate([*hits, np.zeros(0, np.int64)]).astype(np.int64)
     w, b = np.zeros(n_inputs), -2.0
@@ -242,7 +246,7 @@ def fit_linear(hits: list[np.ndarray], y: np.ndarray, n_inputs: int, steps: int
     for step in range(1, steps + 1):
         z = b + np.bincount(of, w[at], len(hits))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        miss = (p - y) / len(y)
+        miss = (p - y) * share
         grad = np.append(np.bincount(at, miss[of], n_inputs) + decay * w, miss.sum())
         gain[0] = 0.9 * gain[0] + 0.1 * grad
         gain[1] = 0.999 * gain[1] + 0.001 * grad**2
@@ -267,30 +271,32 @@ class Model:
         return pa.array(np.concatenate([*out, np.zeros(0)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); hold rows out by leaving them out of ``labels``."""
     from ..runtime import discard, ship
 
     ship(docs.sparkSession)
-    sample = training_sample(docs, labels, train_rows)
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    taken = training_rows(docs, labels)
+    sizes = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     none = Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if not n_toxic or not n_clean:
         return Model(none, np.zeros(len(SHARDS)), 30.0 if n_toxic else -30.0)
-    lexicon = induce(sample, n_toxic, n_clean)
-    rows = sample.mapInArrow(_hits_and_votes(lexicon), "toxic int, hits array<int>, votes binary").toArrow()
-    discard(sample)
+    lexicon = induce(taken, n_toxic, n_clean)
+    rows = taken.mapInArrow(_hits_and_votes(lexicon), "toxic int, hits array<int>, votes binary").groupBy("toxic", "hits", "votes").agg(F.count("*").alias("n")).toArrow()
+    discard(taken)
     hits = [np.asarray(h, np.int64) for h in rows["hits"].to_pylist()]
-    given = rows["toxic"].to_numpy()
+    given, times = rows["toxic"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
     cast = np.frombuffer(b"".join(rows["votes"].to_pylist()), np.int8).reshape(len(given), -1)
     order = sorted(range(len(given)), key=lambda k: (given[k], len(hits[k]), hits[k].tobytes(), cast[k].tobytes()))  # sums don't depend on the order of tasks
-    y = label_model(np.column_stack([cast, np.where(given > 0, 1, -1)])[order].astype(np.float64))
-    return Model(lexicon, *fit_linear([hits[k] for k in order], y, len(lexicon.hashes) + len(SHARDS)))
+    hits, times = [hits[k] for k in order], times[order]
+    kinds, which = np.unique(np.column_stack([cast, np.where(given > 0, 1, -1)])[order], axis=0, return_inverse=True)
+    y = label_model(kinds.astype(np.float64), times=np.bincount(which.ravel(), times))[which.ravel()]
+    return Model(lexicon, *fit_linear(hits, y, len(lexicon.hashes) + len(SHARDS), times=times))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, to: str = "score", flag: str = "predicted") -> DataFrame:
-    """Add the columns ``to`` and ``flag``, from ``text`` alone. The broadcast model has the lexicon's entries, which the training sample bounds, and a fixed table of 1 MB."""
+    """Add the columns ``to`` and ``flag``, from ``text`` alone. The broadcast model has the lexicon's entries, which occur in three toxic rows or more, and a fixed table of 1 MB."""
     from ..runtime import ship
 
     ship(docs.sparkSession)

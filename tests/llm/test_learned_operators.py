@@ -342,6 +342,42 @@ def test_fit_takes_all_texts(spark):
     assert np.allclose(space.mean, (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)).mean(0), atol=2e-5)
 
 
+def test_projection_equals_a_dense_product_for_less():
+    import time
+
+    rng = np.random.default_rng(12)
+    rows = [np.concatenate([rng.integers(0, decontaminate.BUCKETS, n), rng.integers(0, 40, n // 4)]).astype("<u2") for n in [1, 5, 64, *rng.integers(1, 400, 400).tolist()]]
+    batch = pa.record_batch([pa.array([r.tobytes() for r in rows], pa.binary())], names=["words"])
+    idf = rng.uniform(0.5, 8, decontaminate.BUCKETS).astype(np.float32)
+    shared = type("Shared", (), {"value": idf})
+    test = decontaminate._test_matrix()
+
+    def dense():
+        total = np.zeros(test.shape)
+        for of, word, counts, n in decontaminate._passages(iter([batch])):
+            used, column = np.unique(word, return_inverse=True)
+            x = np.zeros((n, len(used)), np.float32)
+            x[of, column] = (1 + np.log(counts)) * idf[word]
+            x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-6
+            total[used] += x.T @ (x @ test[used])
+        return total
+
+    def fastest(run):
+        spent = []
+        for _ in range(5):
+            begun = time.process_time()
+            out = run()
+            spent.append(time.process_time() - begun)
+        return out, min(spent)
+
+    expected, plain = fastest(dense)
+    found, own = fastest(lambda: pa.Table.from_batches(decontaminate._project(shared)(iter([batch]))))
+    total = np.zeros(test.shape)
+    total[found["cell"].to_numpy()] = np.stack([c.to_numpy() for c in found.columns[1:]], 1) / 2**24
+    assert np.abs(total - expected).max() < 1e-5 * np.abs(expected).max()
+    assert own < 0.75 * plain
+
+
 def test_decontamination_of_odd_documents(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
     long = "filler " * 60_000 + item + " filler" * 60_000

@@ -39,6 +39,8 @@ RANK, EXTRA, DROPPED = 64, 12, 4
 PASSAGE = 64
 #: Words and passages that a task handles at a time.
 WORDS_AT_ONCE, PASSAGES = 1 << 18, 256
+#: Buckets in this many of the passages handled at a time are summed by a dense product.
+FREQUENT = 6
 SEGMENT = 4
 CLASSES = (16, 32, 64)
 COSINE = 0.35
@@ -111,16 +113,39 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     give_back()
 
 
-def _dense(of: np.ndarray, word: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that occur, and a matrix of passages by these."""
-    there = np.zeros(BUCKETS, bool)
-    there[word] = True
-    used = np.flatnonzero(there)
-    place = np.zeros(BUCKETS, np.int64)
-    place[used] = np.arange(len(used))
-    out = np.zeros((n, len(used)), np.float32)
-    out[of, place[word]] = values
-    return used, out
+def _times(of: np.ndarray, word: np.ndarray, values: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
+    """The passages, a sparse matrix of ``values`` by passage and bucket, times ``rows`` of all buckets."""
+    own = rows[word]
+    cuts = np.searchsorted(of, np.arange(n + 1)).tolist()
+    out = np.empty((n, rows.shape[1]), np.float32)
+    for k in range(n):
+        np.dot(values[cuts[k] : cuts[k + 1]], own[cuts[k] : cuts[k + 1]], out=out[k])
+    return out
+
+
+def _add_transposed(total: np.ndarray, of: np.ndarray, word: np.ndarray, values: np.ndarray, low: np.ndarray) -> None:
+    """Add the transposed passages times ``low`` to ``total``: a dense product for buckets that occur in ``FREQUENT`` passages, else sums of a row for each passage."""
+    order = np.argsort(word.astype(np.uint16), kind="stable")
+    of, word, values = of[order], word[order], values[order]
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    times = np.diff(np.append(first, len(word)))
+    by = np.argsort(-times, kind="stable")
+    first, times = first[by], times[by]
+    part = np.empty((len(first), low.shape[1]), np.float32)
+    frequent = int(np.searchsorted(-times, -FREQUENT, "right"))
+    if frequent:
+        own = np.repeat(np.arange(frequent), times[:frequent])
+        at = np.repeat(first[:frequent] - np.cumsum(times[:frequent]) + times[:frequent], times[:frequent]) + np.arange(len(own))
+        dense = np.zeros((len(low), frequent), np.float32)
+        dense[of[at], own] = values[at]
+        part[:frequent] = dense.T @ low
+    part[frequent:] = 0
+    for k in range(FREQUENT - 1):
+        at = first[frequent : int(np.searchsorted(-times, -k, "left"))] + k  # the k-th passage of all rarer buckets that have one
+        if not len(at):
+            break
+        part[frequent : frequent + len(at)] += low[of[at]] * values[at, None]
+    total[word[first]] += part
 
 
 def _test_matrix() -> np.ndarray:
@@ -141,8 +166,7 @@ def _project(shared):
             x = (1 + np.log(counts)).astype(np.float32) * idf[word]
             starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             x /= (np.sqrt(np.add.reduceat(x * x, starts)) + 1e-6)[of]
-            used, x = _dense(of, word, x, n)
-            total[used] += x.T @ (x @ test[used])
+            _add_transposed(total, of, word, x, _times(of, word, x, n, test))
         some = np.flatnonzero(np.abs(total).sum(1))
         for lo in range(0, len(some), 4096):
             at = some[lo : lo + 4096]
@@ -160,8 +184,7 @@ def _moments(shared):
         total = np.zeros((rank + 1, rank))
         n = 0
         for of, word, counts, passages in _passages(batches):
-            used, x = _dense(of, word, counts, passages)
-            v = (x @ vectors[used]).astype(np.float64)
+            v = _times(of, word, counts.astype(np.float32), passages, vectors).astype(np.float64)
             v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
             total[0] += v.sum(0)
             total[1:] += v.T @ v

@@ -225,6 +225,39 @@ def test_links_within_a_crowd_are_not_carried_along(spark, monkeypatch):
     assert len(rows) == len(expected) and {r["node"]: r["root"] for r in rows} == expected
 
 
+def test_a_crowd_is_joined_to_its_roots_by_node_and_not_by_bucket(spark, monkeypatch):
+    from tidemark import runtime
+
+    rows = [(0, key, node, 300 + 6 * (key == 0)) for key in range(40) for node in range(300 + 6 * (key == 0))]  # 306 nodes in bucket 0
+    members = spark.createDataFrame(rows, "band int, key long, node long, n long")
+    roots = spark.createDataFrame([(node, 0) for node in range(300)], "node long, root long")  # the other six are alone
+    payload = spark.range(306).select(F.col("id").alias("node"), F.lit("x").alias("data"))
+    made, persist = [], runtime.persist
+
+    def joined(plan):
+        own = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.nodeName() and "[node#" in plan.simpleString(25) else 0
+        return own + sum(joined(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    def counted(spark, df, label):
+        df.collect()
+        made.append(joined(df._jdf.queryExecution().executedPlan()))
+        return persist(spark, df, label)
+
+    def compare(meeting):
+        pairs = meeting.select("same", F.explode("members").alias("x"), "others").select("same", "x", F.explode("others").alias("y"))
+        return pairs.where("x.root != y.root AND (NOT same OR x.node < y.node)").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    monkeypatch.setattr(runtime, "persist", counted)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = grouping.across_components(spark, members, roots, payload, compare, 5, 64, "test").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted((min(r), max(r)) for r in found) == sorted((a, b) for b in range(300, 306) for a in range(b))
+    assert 306 <= sum(made) <= 3 * 306  # not the 12,006 rows of all buckets
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 

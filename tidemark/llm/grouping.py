@@ -114,6 +114,11 @@ def leader_pairs(spark: SparkSession, members: DataFrame, leaders: int, label: s
     return members.join(ranked, KEYS).where("order > leader_order").select("node", "leader").distinct(), ranked
 
 
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their node, which is the node itself where ``roots`` has none."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def across_components(spark: SparkSession, members: DataFrame, roots: DataFrame, payload: DataFrame, compare: Callable[[DataFrame], DataFrame], most: int, block: int, label: str) -> DataFrame:
     """Links between components that meet in buckets of more than ``most`` nodes, in which not all pairs met a leader.
 
@@ -130,11 +135,13 @@ def across_components(spark: SparkSession, members: DataFrame, roots: DataFrame,
     from ..runtime import discard, persist
 
     crowded = members.where(F.col("n") > most).select(*KEYS, "node", "n")
-    rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = rooted.groupBy(*KEYS, "root").agg(F.count("*").alias("of_root"))
+    # Roots are joined to a row for each node, not to its rows in buckets; then only to the rows in mixed buckets.
+    rooted = _with_roots(crowded.groupBy("node").agg(F.collect_list(F.struct(*KEYS)).alias("met")), roots)
+    by_root = rooted.select("root", F.explode("met").alias("met")).select("met.*", "root").groupBy(*KEYS, "root").agg(F.count("*").alias("of_root"))
     mixed = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("of_root", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     mixed = persist(spark, mixed, f"{label}-mixed")  # so that a hot bucket's rows can be split in the next join
-    dealt = rooted.join(mixed, KEYS).select(*KEYS, "node", "root", (F.col("root") == F.col("largest")).alias("main"), F.expr(f"pmod(xxhash64(node), cast(ceil(n / {block}) as long))").alias("block"))
+    dealt = _with_roots(crowded.join(mixed, KEYS), roots)
+    dealt = dealt.select(*KEYS, "node", "root", (F.col("root") == F.col("largest")).alias("main"), F.expr(f"pmod(xxhash64(node), cast(ceil(n / {block}) as long))").alias("block"))
     dealt = persist(spark, dealt, f"{label}-dealt")
     blocks = dealt.join(payload, "node").groupBy(*KEYS, "main", "block").agg(F.collect_list(F.struct("node", "root", "data")).alias("members"))
     blocks = persist(spark, blocks, f"{label}-blocks")

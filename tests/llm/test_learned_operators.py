@@ -734,6 +734,43 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert all(got[1000 + k] == got[k] == k for k in range(40))
 
 
+def test_a_crowd_of_near_copies_meets_its_leaders_in_few_rows(spark, monkeypatch):
+    from tidemark import runtime
+
+    rng = np.random.default_rng(24)
+    centre = rng.normal(size=64)
+    rows = [(k, images.write_pgm(images.render(centre + rng.normal(0, 0.09, 64)))) for k in range(150)] + [(1000 + k, images.write_pgm(images.render(rng.normal(size=64)))) for k in range(20)]
+    made, persist = [], runtime.persist
+
+    def joined(plan):
+        own = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.nodeName() and "leader_order" in plan.simpleString(25) else 0
+        return own + sum(joined(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    def counted(spark, df, label):
+        if label == "image-pairs":
+            df.collect()
+            made.append(joined(df._jdf.queryExecution().executedPlan()))
+        return persist(spark, df, label)
+
+    monkeypatch.setattr(runtime, "persist", counted)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = image_groups(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert 149 <= sum(made) <= 30 * 150
+    assert len(got) == 170 and {got[k] for k in range(150)} == {0}
+
+
+def test_only_buckets_of_several_roots_stay(spark):
+    banded = spark.createDataFrame([(0, key, node, root) for key, nodes in ((1, [(1, 1), (2, 1), (3, 1)]), (2, [(1, 1), (2, 1), (4, 4)]), (3, [(5, 5)])) for node, root in nodes], "band int, key long, node long, root long")
+    members = grouping.meeting_rows(banded)
+    assert sorted((r["key"], r["node"], r["root"], r["n"]) for r in members.collect()) == [(2, 1, 1, 3), (2, 2, 1, 3), (2, 4, 4, 3)]
+    pairs, _ = grouping.leader_pairs(spark, members, 4, "test")
+    assert sorted(tuple(sorted(r)) for r in pairs.collect()) == [(1, 4), (2, 4)]
+
+
 def test_matches_of_many_pairs_equal_those_of_each():
     rng = np.random.default_rng(22)
     points = images.describe_all([images.write_pgm(p) for p in [texture(rng, 60) for _ in range(6)] + [images.render(rng.normal(size=64)) for _ in range(20)]] + [b""])

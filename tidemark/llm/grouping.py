@@ -93,11 +93,16 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def meeting_rows(banded: DataFrame) -> DataFrame:
-    """Of (band, key, node) rows those in buckets of two or more, with the bucket's size ``n`` and ``order``: nodes that meet many others come first."""
-    sizes = banded.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1")
+    """Of (band, key, node) rows those in buckets of two or more, with the bucket's size ``n`` and ``order``: nodes that meet many others come first.
+
+    Where rows have the ``root`` of their node too, it stays, and only buckets of two roots or more do: the others' nodes are linked already.
+    """
+    rooted = [c for c in banded.columns if c == "root"]
+    sizes = banded.groupBy(*KEYS).agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in rooted for f in (F.min, F.max)])
+    sizes = sizes.where("min_root < max_root" if rooted else "n > 1").select(*KEYS, "n")
     members = banded.join(sizes, KEYS)
     weights = members.groupBy("node").agg(F.struct((-F.sum("n")).alias("w"), F.col("node").alias("node")).alias("order"))
-    return members.join(weights, "node").select(*KEYS, "node", "order", "n")
+    return members.join(weights, "node").select(*KEYS, "node", *rooted, "order", "n")
 
 
 def leader_pairs(spark: SparkSession, members: DataFrame, leaders: int, label: str) -> tuple[DataFrame, DataFrame]:
@@ -105,16 +110,18 @@ def leader_pairs(spark: SparkSession, members: DataFrame, leaders: int, label: s
 
     In buckets of up to ``leaders`` + 1 nodes these are all pairs; in larger ones ``leaders`` rows a member, so their number
     is in proportion to the members. Leaders are found by a rank that Spark limits before it shuffles; they are written, so that
-    the join has a shuffle of its own on both sides and Spark can split a hot bucket's rows there.
+    the join has a shuffle of its own on both sides and Spark can split a hot bucket's rows there. Where members have a ``root``, pairs of one root are left out.
     """
     from ..runtime import persist
 
+    rooted = [c for c in members.columns if c == "root"]
     ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy("order"))).where(F.col("rank") <= leaders)
-    ranked = persist(spark, ranked.select(*KEYS, F.col("node").alias("leader"), F.col("order").alias("leader_order")), f"{label}-leaders")
-    return members.join(ranked, KEYS).where("order > leader_order").select("node", "leader").distinct(), ranked
+    ranked = persist(spark, ranked.select(*KEYS, F.col("node").alias("leader"), F.col("order").alias("leader_order"), *[F.col(c).alias(f"leader_{c}") for c in rooted]), f"{label}-leaders")
+    wanted = " AND ".join(["order > leader_order", *[f"{c} != leader_{c}" for c in rooted]])
+    return members.join(ranked, KEYS).where(wanted).select("node", "leader").distinct(), ranked
 
 
-def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` with the ``root`` of their node, which is the node itself where ``roots`` has none."""
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -136,11 +143,11 @@ def across_components(spark: SparkSession, members: DataFrame, roots: DataFrame,
 
     crowded = members.where(F.col("n") > most).select(*KEYS, "node", "n")
     # Roots are joined to a row for each node, not to its rows in buckets; then only to the rows in mixed buckets.
-    rooted = _with_roots(crowded.groupBy("node").agg(F.collect_list(F.struct(*KEYS)).alias("met")), roots)
+    rooted = with_roots(crowded.groupBy("node").agg(F.collect_list(F.struct(*KEYS)).alias("met")), roots)
     by_root = rooted.select("root", F.explode("met").alias("met")).select("met.*", "root").groupBy(*KEYS, "root").agg(F.count("*").alias("of_root"))
     mixed = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("of_root", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     mixed = persist(spark, mixed, f"{label}-mixed")  # so that a hot bucket's rows can be split in the next join
-    dealt = _with_roots(crowded.join(mixed, KEYS), roots)
+    dealt = with_roots(crowded.join(mixed, KEYS), roots)
     dealt = dealt.select(*KEYS, "node", "root", (F.col("root") == F.col("largest")).alias("main"), F.expr(f"pmod(xxhash64(node), cast(ceil(n / {block}) as long))").alias("block"))
     dealt = persist(spark, dealt, f"{label}-dealt")
     blocks = dealt.join(payload, "node").groupBy(*KEYS, "main", "block").agg(F.collect_list(F.struct("node", "root", "data")).alias("members"))

@@ -6,6 +6,7 @@
 3. ``TABLES`` choices of ``KEY_BITS`` of the 256 bits are the keys of hash tables: corners that differ in few bits agree on some choice.
    Images that share a key meet in a bucket; in a small bucket all pairs are compared, in a larger one its members with a few
    leaders and then, in blocks, across the groups found (see ``grouping``), so a pair that shares a key is always compared or in one group already.
+   Keys come in ``ROUNDS``, all in the end: the first ones link crowds of near copies, so that buckets within one group need no rows later.
 4. Descriptors of a pair are matched (mutually nearest, at most ``MAX_DISTANCE`` bits); every match proposes a shift, turn and scale;
    the proposal that most matches agree with decides: at least ``MIN_INLIERS`` of them, and a share of the fewer corners of at least ``THRESHOLD``.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grouping import across_components, components, leader_pairs, meeting_rows, merge_components, spanning_links
+from .grouping import across_components, components, leader_pairs, meeting_rows, merge_components, spanning_links, with_roots
 from .words import mix64
 
 SCALES = (1.0, 0.75, 0.5)
@@ -43,6 +44,8 @@ MAX_DISTANCE = 60
 MIN_INLIERS, THRESHOLD = 5, 0.2
 TOLERANCE = 3.0
 LEADERS, BLOCK = 4, 128
+#: Rounds in which keys are looked at: one key in so many by the end of each round, all by the end of the last.
+ROUNDS = (16, 4, 1)
 #: Distances that a task holds while it matches pairs.
 CELLS = 1_000_000
 
@@ -306,21 +309,33 @@ def image_copies(images: DataFrame, threshold: float = THRESHOLD, key_bits: int
     classes = own.groupBy("digest").agg(F.min("image").alias("image"), F.min("image_id").alias("image_class")).withColumn("node", F.monotonically_increasing_id())
     classes = persist(spark, classes, "image-classes")
     described = persist(spark, classes.select("node", "image").mapInArrow(_describe_batches(key_bits, tables), "node long, keys array<long>, data binary"), "image-points")
-    banded = described.select(F.lit(0).alias("band"), F.explode("keys").alias("key"), "node")
-    members = persist(spark, meeting_rows(banded), "image-members")
     points = described.select("node", "data")
 
-    pairs, leaders = leader_pairs(spark, members, LEADERS, "image")
-    joined = pairs.join(points, "node").join(points.select(F.col("node").alias("leader"), F.col("data").alias("leader_data")), "leader")
-    compared = joined.select("node", "leader", "data", "leader_data").mapInArrow(_consensus_batches, "node long, leader long, similarity double").where(F.col("similarity") >= threshold)
-    similar = persist(spark, compared.select(F.col("node").alias("a"), F.col("leader").alias("b")), "image-pairs")
-    roots = persist(spark, components(spark, similar), "image-roots")
+    def links_to_leaders(members: DataFrame) -> DataFrame:
+        pairs, leaders = leader_pairs(spark, members, LEADERS, "image")
+        joined = pairs.join(points, "node").join(points.select(F.col("node").alias("leader"), F.col("data").alias("leader_data")), "leader")
+        compared = joined.select("node", "leader", "data", "leader_data").mapInArrow(_consensus_batches, "node long, leader long, similarity double").where(F.col("similarity") >= threshold)
+        similar = persist(spark, compared.select(F.col("node").alias("a"), F.col("leader").alias("b")), "image-pairs")
+        discard(leaders)
+        return similar
+
+    # Near copies share many keys, so a crowd of them fills many buckets. A few keys link most of it; of the others' buckets only those of several components count then.
+    keys, roots, seen = described.select("node", "keys"), None, 0
+    for one_in in ROUNDS:
+        last, new = one_in == 1, f"pmod(key, {seen}) != 0" if seen else "true"
+        part = F.expr(f"filter(keys, key -> pmod(key, {one_in}) = 0 AND ({last} OR {new}))")  # in the last round all, as crowded buckets stay to be compared
+        rooted = with_roots(keys, roots) if seen else keys.withColumn("root", F.col("node"))
+        members = persist(spark, meeting_rows(rooted.select(F.lit(0).alias("band"), F.explode(part).alias("key"), "node", "root")), "image-members")
+        similar = links_to_leaders(members.where(new))
+        before, roots = roots, persist(spark, merge_components(spark, roots, similar) if seen else components(spark, similar), "image-roots")
+        discard(before, similar, *[members] * (not last))
+        seen = one_in
     across = lambda meeting: meeting.mapInArrow(_links_of_blocks(threshold, key_bits, tables), "a long, b long")
     links = across_components(spark, members, roots, points, across, LEADERS + 1, BLOCK, "image")
     if not links.isEmpty():
         before, roots = roots, persist(spark, merge_components(spark, roots, links), "image-roots")
         discard(before)
-    discard(described, members, leaders, similar, links)
+    discard(described, members, links)
     named = classes.select("digest", "node", "image_class").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("image_class").alias("group_id")), "root").select("digest", "image_class", "group_id")
     return own.select("image_id", "digest").join(named, "digest").select("image_id", "image_class", "group_id")

@@ -411,6 +411,63 @@ def test_projection_equals_a_dense_product_for_less():
     assert own < 0.75 * plain
 
 
+def test_projection_in_several_parts(monkeypatch):
+    """Entries that are added in parts, of more and fewer rows than are gathered at a time, give the dense product."""
+    rng = np.random.default_rng(13)
+    sizes = [(1, 3), (40, 300), (7, 0), (90, 900), (200, 20)]
+    for entries, at_once in [(1, 1), (400, 7), (1 << 21, 1 << 13)]:
+        monkeypatch.setattr(decontaminate, "ENTRIES", entries)
+        monkeypatch.setattr(decontaminate, "ENTRIES_AT_ONCE", at_once)
+        total, expected = np.zeros((decontaminate.BUCKETS, 5)), np.zeros((decontaminate.BUCKETS, 5))
+        transposed = decontaminate._Transposed(total)
+        for n, m in sizes:
+            of, word = np.sort(rng.integers(0, n, m)), rng.choice([0, 1, 2, 500, decontaminate.BUCKETS - 1], m)
+            values, low = rng.random(m).astype(np.float32), rng.standard_normal((n, 5)).astype(np.float32)
+            np.add.at(expected, word, low[of].astype(np.float64) * values[:, None])
+            transposed.add(of, word, values, low)
+        transposed.flush()
+        assert np.abs(total - expected).max() < 1e-4
+
+
+def test_windows_that_share_too_little_get_no_vector():
+    """All windows get one where the bounds are taken away; hits are the same, of pieces of all classes and of one whose words stand everywhere."""
+    rng = random.Random(29)
+    text = lambda n: " ".join(f"w{int(20_000 * rng.random() ** 3) + 1}" for _ in range(n))
+    rows = [(k, f"{text(n - 6)}. {text(6)}.") for k, n in enumerate([16, 20, 23, 28, 40, 47, 60, 64, 150] * 12)]
+    texts = [text(rng.choice([3, 9, 30, 100, 700])) for _ in range(600)] + ["", None, "w1"]
+    for d in range(0, 600, 5):
+        body, words_of = texts[d].split(), rows[d // 5 % len(rows)][1].split()
+        at = rng.randrange(len(body))
+        body[at:at] = [w if rng.random() > 0.2 else "other" for w in words_of]
+        texts[d] = " ".join(body)
+    texts = pa.array(texts)
+    hashes, bounds = words.word_hashes(texts.fill_null(""))
+    of, word = np.repeat(np.arange(len(texts)), np.diff(bounds)), decontaminate._bucket(hashes)
+    df = np.bincount(np.unique(of * decontaminate.BUCKETS + word) % decontaminate.BUCKETS, minlength=decontaminate.BUCKETS)
+    idf = np.log((len(texts) + 1) / (df + 1)).astype(np.float32)
+    idf[decontaminate._bucket(words.word_hashes(pa.array(["w1 w2"]))[0])] = 0
+    vectors = np.random.default_rng(3).standard_normal((decontaminate.BUCKETS, 24)).astype(np.float32) * idf[:, None]
+    placed = []
+
+    class Space(decontaminate.Space):
+        def place(self, sums):
+            placed[-1] += len(sums)
+            return super().place(sums)
+
+    space = Space(idf, vectors, np.full(24, 0.05, np.float32), np.eye(24, dtype=np.float32))
+    for more in ([], [(500, "w1 w2 w1 w1 w2 w1 w1")]):
+        placed.append(0)
+        searcher = decontaminate.Searcher(space, decontaminate.prepare_items(rows + more))
+        placed[-1] = 0
+        found = searcher.search(texts)
+        searcher.bounds = [None] * len(searcher.blocks)
+        placed.append(0)
+        assert found == searcher.search(texts)
+        assert sum(map(len, found)) >= 100
+    windows = sum(max(-(-n // (c // 4)) - 3, 1) for n in np.diff(bounds).tolist() if n for c in decontaminate.CLASSES)
+    assert placed[0] < 0.3 * windows <= 0.3 * placed[1]
+
+
 def test_decontamination_of_odd_documents(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
     long = "filler " * 60_000 + item + " filler" * 60_000

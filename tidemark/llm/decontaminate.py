@@ -8,13 +8,14 @@ vectors are the rows of the singular vectors, scaled to the word's IDF; a second
 of their vectors, and the search uses the whitened space, in which unrelated passages are far apart.
 
 Search. Every document is covered by overlapping windows of lengths 16, 32 and 64 words, and every benchmark piece (at most 64 words) is
-compared by cosine with the windows of its length class. Candidates must share some of the piece's IDF. Both bounds lie so low that of
+compared by cosine with the windows of its length class. Candidates must share some of the piece's IDF; windows whose words are known by an upper
+bound to share too little with all pieces of a block get no vector. Both bounds lie so low that of
 items of which 55 % to 70 % of the words are left in order nine in ten and more reach the next step (tested against LCS of everything). Then the longest common
 subsequence of words is computed bit-parallel. A piece is found if LCS / length reaches ``LCS``, or, for a paraphrase, ``LCS_PARAPHRASE``
 and its answer (what follows a final ``Answer:``, else its last sentence) occurs almost whole and in order.
 
 Broadcast are the word vectors (``BUCKETS`` times ``RANK`` floats) and at most ``ITEMS_PER_PASS`` pieces at a time, of which a worker
-holds the vectors and a bit for each bucket, 4 KB a piece. The benchmark is the stated query set: every window meets every piece of its class, in blocks.
+holds the vectors, a bit for each bucket, and for each 32 pieces a bound for each bucket, 8 KB a piece. The benchmark is the stated query set: every window meets every piece of its class, in blocks.
 
 Defined cases: null and empty documents have no hits; items without words are skipped; items that share an id are one,
 reported with their best piece; documents shorter than a window are one window; equal documents have equal hits; where the passages span
@@ -37,16 +38,19 @@ from .words import blocks, give_back, raw_bytes, word_hashes
 BUCKETS = 1 << 15
 RANK, EXTRA, DROPPED = 64, 12, 4
 PASSAGE = 64
-#: Words and passages that a task handles at a time.
+#: Bytes of text, words and passages that a task handles at a time.
+TEXT_BYTES = 1 << 18
 WORDS_AT_ONCE, PASSAGES = 1 << 18, 256
-#: Buckets in this many of the passages handled at a time are summed by a dense product.
-FREQUENT = 6
+#: Entries of passages that are added to the buckets together, and of these the rows that are gathered at a time.
+ENTRIES, ENTRIES_AT_ONCE = 1 << 21, 1 << 13
 SEGMENT = 4
 CLASSES = (16, 32, 64)
 COSINE = 0.35
 SHARED = 0.35
 LCS, LCS_PARAPHRASE, ANSWER = 0.7, 0.55, 0.9
 ITEMS_PER_PASS, ITEM_BLOCK = 20_000, 256
+#: Pieces of a block that share one bound of what a window can share with any of them; windows whose vectors are summed at a time.
+BOUND_GROUP, WINDOWS_AT_ONCE = 32, 1 << 12
 HITS = "array<struct<item_id:long,cosine:double,lcs:double,answer:boolean>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.bool_())]))
 
@@ -58,7 +62,7 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The buckets of each text's words, two bytes each."""
     for batch in batches:
-        for row, part in blocks(batch.column("text")):
+        for row, part in blocks(batch.column("text"), TEXT_BYTES):
             hashes, bounds = word_hashes(part)
             words = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(_bucket(hashes).astype("<u2"))])
             yield pa.record_batch([batch.column("hash").slice(row, len(part)), words], names=["hash", "words"])
@@ -113,39 +117,56 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     give_back()
 
 
+def _runs_times(values: np.ndarray, rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each run of rows, from one of ``cuts`` to the next, their sum, each times its value."""
+    out = np.empty((len(cuts) - 1, rows.shape[1]), np.float32)
+    at = cuts.tolist()
+    for k in range(len(out)):
+        np.dot(values[at[k] : at[k + 1]], rows[at[k] : at[k + 1]], out=out[k])
+    return out
+
+
 def _times(of: np.ndarray, word: np.ndarray, values: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
     """The passages, a sparse matrix of ``values`` by passage and bucket, times ``rows`` of all buckets."""
-    own = rows[word]
-    cuts = np.searchsorted(of, np.arange(n + 1)).tolist()
-    out = np.empty((n, rows.shape[1]), np.float32)
-    for k in range(n):
-        np.dot(values[cuts[k] : cuts[k + 1]], own[cuts[k] : cuts[k + 1]], out=out[k])
-    return out
+    return _runs_times(values, rows[word], np.searchsorted(of, np.arange(n + 1)))
+
 
+class _Transposed:
+    """Adds transposed passages times rows of each passage to ``total``.
 
-def _add_transposed(total: np.ndarray, of: np.ndarray, word: np.ndarray, values: np.ndarray, low: np.ndarray) -> None:
-    """Add the transposed passages times ``low`` to ``total``: a dense product for buckets that occur in ``FREQUENT`` passages, else sums of a row for each passage."""
-    order = np.argsort(word.astype(np.uint16), kind="stable")
-    of, word, values = of[order], word[order], values[order]
-    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-    times = np.diff(np.append(first, len(word)))
-    by = np.argsort(-times, kind="stable")
-    first, times = first[by], times[by]
-    part = np.empty((len(first), low.shape[1]), np.float32)
-    frequent = int(np.searchsorted(-times, -FREQUENT, "right"))
-    if frequent:
-        own = np.repeat(np.arange(frequent), times[:frequent])
-        at = np.repeat(first[:frequent] - np.cumsum(times[:frequent]) + times[:frequent], times[:frequent]) + np.arange(len(own))
-        dense = np.zeros((len(low), frequent), np.float32)
-        dense[of[at], own] = values[at]
-        part[:frequent] = dense.T @ low
-    part[frequent:] = 0
-    for k in range(FREQUENT - 1):
-        at = first[frequent : int(np.searchsorted(-times, -k, "left"))] + k  # the k-th passage of all rarer buckets that have one
-        if not len(at):
-            break
-        part[frequent : frequent + len(at)] += low[of[at]] * values[at, None]
-    total[word[first]] += part
+    Entries are kept until there are ``ENTRIES``, then added bucket by bucket: in so many passages most buckets occur often, and each is one product.
+    """
+
+    def __init__(self, total: np.ndarray):
+        self.total = total
+        self._empty()
+
+    def _empty(self) -> None:
+        self.parts, self.low, self.passages, self.entries = [], [], 0, 0
+
+    def add(self, of: np.ndarray, word: np.ndarray, values: np.ndarray, low: np.ndarray) -> None:
+        self.parts.append(((of + self.passages).astype(np.uint32), word.astype(np.uint16), values))
+        self.low.append(low)
+        self.passages += len(low)
+        self.entries += len(of)
+        if self.entries >= ENTRIES:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.entries:
+            return
+        of, word, values = (np.concatenate(x) for x in zip(*self.parts))
+        low = np.concatenate(self.low)
+        self._empty()
+        order = np.argsort(word, kind="stable")
+        of, word, values = of[order], word[order], values[order]
+        cuts = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))
+        lo = 0
+        while lo < len(cuts) - 1:
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + ENTRIES_AT_ONCE, "right")) - 1)
+            at = slice(cuts[lo], cuts[hi])
+            self.total[word[cuts[lo:hi]]] += _runs_times(values[at], low[of[at]], cuts[lo : hi + 1] - cuts[lo])
+            lo = hi
 
 
 def _test_matrix() -> np.ndarray:
@@ -162,11 +183,13 @@ def _project(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, test = shared.value, _test_matrix()
         total = np.zeros(test.shape)
+        transposed = _Transposed(total)
         for of, word, counts, n in _passages(batches):
             x = (1 + np.log(counts)).astype(np.float32) * idf[word]
             starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             x /= (np.sqrt(np.add.reduceat(x * x, starts)) + 1e-6)[of]
-            _add_transposed(total, of, word, x, _times(of, word, x, n, test))
+            transposed.add(of, word, x, _times(of, word, x, n, test))
+        transposed.flush()
         some = np.flatnonzero(np.abs(total).sum(1))
         for lo in range(0, len(some), 4096):
             at = some[lo : lo + 4096]
@@ -323,6 +346,18 @@ def prepare_items(rows: list[tuple[int | None, str | None]]) -> Items:
     return out
 
 
+def _reach(bound: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether the bounds of the words ``lo`` to ``hi`` add up to 1 for some group, or all where most do; what rounding may take is granted."""
+    found = np.zeros(len(lo), bool)
+    upto = np.zeros(len(word) + 1)
+    for own in bound:
+        np.cumsum(own[word], out=upto[1:])
+        found |= upto[hi] - upto[lo] >= 1 - 1e-4
+        if 2 * np.count_nonzero(found) > len(found):  # too few would be left out to pay for it
+            return np.ones(len(lo), bool)
+    return found
+
+
 def _class_of(n: int) -> int:
     return next((c for c in CLASSES if n < 1.5 * c), CLASSES[-1])
 
@@ -348,11 +383,27 @@ class Searcher:
                     sums[k] = space.vectors[word].sum(0)
                     whole[k] = space.idf[word].sum()
                 self.blocks.append((c, at, space.place(sums), mask, whole))
+        self.bounds = [self._bounds(mask, whole) for _, _, _, mask, whole in self.blocks]
+
+    def _bounds(self, mask: np.ndarray, whole: np.ndarray) -> np.ndarray | None:
+        """For each group of pieces and each bucket, the most that a word of the bucket adds to the shared IDF of any piece, in parts of what that piece needs.
+
+        A window in which these do not add up to 1 is a candidate for no piece of the group. None if some piece needs nothing.
+        """
+        least = SHARED * whole
+        if (least <= 0).any():
+            return None
+        out = np.zeros((-(-len(mask) // BOUND_GROUP), BUCKETS), np.float32)
+        for k in range(len(mask)):
+            word = np.flatnonzero(np.unpackbits(mask[k], bitorder="little"))
+            own = out[k // BOUND_GROUP]
+            own[word] = np.maximum(own[word], self.space.idf[word] / least[k])
+        return out
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
         """Hits of each text."""
         out: list[list[dict]] = []
-        for _, part in blocks(texts, 1 << 19):
+        for _, part in blocks(texts, TEXT_BYTES):
             out += self._search_block(part)
         return out
 
@@ -362,34 +413,47 @@ class Searcher:
         if len(hashes):
             word = _bucket(hashes)
             counts = np.diff(bounds)
-            # Segments of a few words, aligned to each document's start, and cumulative sums over them.
+            # Segments of a few words, aligned to each document's start.
             at = np.arange(len(hashes)) - np.repeat(bounds[:-1], counts)
             first = np.flatnonzero(at % SEGMENT == 0)
-            left = np.repeat(bounds[1:], counts)[first] - first  # words from here to the end of the text
-            sums = self.rows[word[first]]
-            for k in range(1, SEGMENT):
-                sums += self.rows[np.where(left > k, word[np.minimum(first + k, len(word) - 1)], BUCKETS)]
-            upto = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, 0, dtype=np.float64)])
             of = np.repeat(np.arange(len(texts)), counts)[first]
             seg_bounds = np.searchsorted(of, np.arange(len(texts) + 1))
             place = np.arange(len(first)) - seg_bounds[of]
+            ahead = seg_bounds[of + 1] - np.arange(len(first))
             ends = np.append(first, len(hashes))
+            windows = {}
             for c in CLASSES:
-                mine = [b for b in self.blocks if b[0] == c]
-                if not mine:
-                    continue
                 length, step = c // SEGMENT, max(c // SEGMENT // 4, 1)
-                ahead = seg_bounds[of + 1] - np.arange(len(first))
                 begin = np.flatnonzero((place % step == 0) & ((place == 0) | (ahead > length - step)))
-                end = np.minimum(begin + length, seg_bounds[of[begin] + 1])
-                vectors = self.space.place((upto[end] - upto[begin]).astype(np.float32))
-                for _, ids, placed, mask, whole in mine:
-                    cosine = vectors @ placed.T
+                windows[c] = begin, np.minimum(begin + length, seg_bounds[of[begin] + 1])
+            for (c, ids, placed, mask, whole), bound in zip(self.blocks, self.bounds):
+                begin, end = windows[c]
+                if bound is not None:
+                    some = np.flatnonzero(_reach(bound, word, ends[begin], ends[end]))
+                    begin, end = begin[some], end[some]
+                for lo in range(0, len(begin), WINDOWS_AT_ONCE):
+                    b, e = begin[lo : lo + WINDOWS_AT_ONCE], end[lo : lo + WINDOWS_AT_ONCE]
+                    cosine = self.space.place(self._sums(word, ends, b, e)) @ placed.T
                     w, k = np.nonzero(cosine >= COSINE)
-                    for lo in range(0, len(w), 1 << 16):
-                        self._compare(w[lo : lo + (1 << 16)], k[lo : lo + (1 << 16)], cosine, ids, mask, whole, begin, end, ends, word, hashes, bounds, of, c, best)
+                    for at in range(0, len(w), 1 << 16):
+                        self._compare(w[at : at + (1 << 16)], k[at : at + (1 << 16)], cosine, ids, mask, whole, b, e, ends, word, hashes, bounds, of, c, best)
         return [self._of_items(found) for found in best]
 
+    def _sums(self, word: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sums of the word vectors of windows of whole segments; a segment is summed once for all windows at hand."""
+        lo = int(begin.min())
+        covered = np.cumsum(np.bincount(begin - lo, minlength=int(end.max()) - lo + 1) - np.bincount(end - lo, minlength=int(end.max()) - lo + 1)) > 0
+        used = np.flatnonzero(covered) + lo
+        first, past = ends[used], ends[used + 1]
+        segments = np.zeros((len(used) + 1, self.rows.shape[1]), np.float32)  # the last one is for no segment
+        for k in range(SEGMENT):
+            segments[:-1] += self.rows[np.where(first + k < past, word[np.minimum(first + k, len(word) - 1)], BUCKETS)]
+        number = np.cumsum(covered) - 1
+        sums = np.zeros((len(begin), segments.shape[1]), np.float32)
+        for k in range(int((end - begin).max())):
+            sums += segments[np.where(begin + k < end, number[np.minimum(begin + k, end - 1) - lo], len(used))]
+        return sums
+
     def _of_items(self, found: dict[int, dict]) -> list[dict]:
         """Of the pieces found the best of each item, by item id."""
         items: dict = {}

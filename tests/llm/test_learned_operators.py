@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -411,6 +412,26 @@ def test_projection_equals_a_dense_product_for_less():
     assert own < 0.75 * plain
 
 
+def test_word_hashes_equal_their_definition():
+    """Sums of powers of the base, whatever stands before a word; words longer than what is handled at a time, and prefixes, among them."""
+    rng = random.Random(31)
+    odd = ["", "a", " ", "..a", "A" * 70_000, "x " * 40_000 + "Y" * 40_000 + " z", "é" * 20_000, "a", "b", "." * 50_000]
+    odd += ["".join(rng.choice("ab .É中0-") for _ in range(rng.randrange(12))) for _ in range(300)]
+    base, expected, starts = int(words._BASE), [], {2: [], 5: []}
+    power = np.cumprod(np.full(70_000, base, np.uint64))
+    plain = lambda part: np.sum(power[: len(part)] * (np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1)), dtype=np.uint64)
+    for text in odd:
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode()):
+            expected.append(plain(word) + np.uint64(len(word)))
+            for n in starts:
+                if len(word) > n:
+                    starts[n].append((len(expected) - 1, plain(word[:n]) ^ np.uint64(0x5851F42D4C957F2D * n & (1 << 64) - 1)))
+    hashes, bounds, longer = words.word_hashes(pa.array(odd), (2, 5))
+    assert (hashes == words.mix64(np.array(expected, np.uint64))).all() and bounds[-1] == len(expected)
+    for (at, found), own in zip(longer, starts.values()):
+        assert at.tolist() == [k for k, _ in own] and (found == words.mix64(np.array([h for _, h in own], np.uint64))).all()
+
+
 def test_projection_in_several_parts(monkeypatch):
     """Entries that are added in parts, of more and fewer rows than are gathered at a time, give the dense product."""
     rng = np.random.default_rng(13)

@@ -128,7 +128,7 @@ def _runs_times(values: np.ndarray, rows: np.ndarray, cuts: np.ndarray) -> np.nd
 
 def _times(of: np.ndarray, word: np.ndarray, values: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
     """The passages, a sparse matrix of ``values`` by passage and bucket, times ``rows`` of all buckets."""
-    return _runs_times(values, rows[word], np.searchsorted(of, np.arange(n + 1)))
+    return _runs_times(values, rows.take(word, 0, mode="clip"), np.searchsorted(of, np.arange(n + 1)))
 
 
 class _Transposed:
@@ -165,7 +165,7 @@ class _Transposed:
         while lo < len(cuts) - 1:
             hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + ENTRIES_AT_ONCE, "right")) - 1)
             at = slice(cuts[lo], cuts[hi])
-            self.total[word[cuts[lo:hi]]] += _runs_times(values[at], low[of[at]], cuts[lo : hi + 1] - cuts[lo])
+            self.total[word[cuts[lo:hi]]] += _runs_times(values[at], low.take(of[at], 0, mode="clip"), cuts[lo : hi + 1] - cuts[lo])
             lo = hi
 
 

@@ -21,6 +21,10 @@ _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _powers = np.cumprod(np.full(64, _BASE, np.uint64))
+#: Bytes whose terms are made at a time, and powers 0 and up of the base's inverse: words share their terms' powers and are then divided by that of their place.
+_SPAN = 1 << 15
+_inverse_powers = np.cumprod(np.append(np.uint64(1), np.full(_SPAN, pow(int(_BASE), -1, 1 << 64), np.uint64)))
+_VALUES = np.where(_IS_WORD, np.arange(1, 257), 0).astype(np.uint64)
 
 
 def _power_table(n: int) -> np.ndarray:
@@ -94,18 +98,29 @@ def word_hashes(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[np.nda
     bounds = np.searchsorted(at, offsets)
     if not len(at):
         return (np.zeros(0, np.uint64), bounds, [(np.zeros(0, np.int64), np.zeros(0, np.uint64)) for _ in prefixes]) if prefixes else (np.zeros(0, np.uint64), bounds)
-    kept = data[is_word]
-    first = np.flatnonzero(begins[is_word])
-    lengths = np.diff(np.append(first, len(kept)))
-    place = np.arange(len(kept)) - np.repeat(first, lengths)
-    terms = _power_table(int(lengths.max()))[place] * (kept.astype(np.uint64) + np.uint64(1))
-    hashes = mix64(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
+    lasts = np.empty_like(is_word)
+    lasts[-1] = is_word[-1]
+    np.logical_not(is_word[1:], out=lasts[:-1])
+    lasts[offsets[1:][offsets[1:] > 0] - 1] = True
+    lasts &= is_word
+    past = np.flatnonzero(lasts) + 1
+    lengths = past - at
+    hashes = np.empty(len(at), np.uint64)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(past, at[lo] + _SPAN, "right")))
+        own = _VALUES[data[at[lo] : past[hi - 1]]]
+        own *= _power_table(len(own))[: len(own)]
+        first = at[lo:hi] - at[lo]
+        hashes[lo:hi] = np.add.reduceat(own, first) * _inverse_powers[first]
+        lo = hi
+    hashes = mix64(hashes + lengths.astype(np.uint64))
     if not prefixes:
         return hashes, bounds
     found, total, longer = [], np.zeros(len(at), np.uint64), np.arange(len(at))
     for k in range(max(prefixes)):
         kept_on = lengths[longer] > k + 1
-        longer, total = longer[kept_on], total[kept_on] + terms[first[longer[kept_on]] + k]
+        longer, total = longer[kept_on], total[kept_on] + _power_table(k + 1)[k] * _VALUES[data[at[longer[kept_on]] + k]]
         if k + 1 in prefixes:
             found.append((longer, mix64(total ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (1 << 64) - 1))))
     return hashes, bounds, found
